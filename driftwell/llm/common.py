@@ -81,3 +81,35 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def added(df: DataFrame, keep: list[Column | str], text_col: str, made: str, fn, many: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``df`` and the columns ``made`` (DDL) that ``fn`` makes of each text.
+
+    ``fn`` gets the texts of an Arrow batch, None where null, and returns a list of
+    values for each column of ``made``.  With ``many`` it first returns a list of row
+    numbers, one for each row of the result.  Kept columns stay in Arrow as they are.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    ship(df.sparkSession)
+    source = df.select(*keep, F.col(text_col).alias("__text"))
+    kept = source.schema.fields[:-1]
+    schema = StructType(kept + _parse_datatype_string(made).fields)
+    arrow = to_arrow_schema(schema)
+    n = len(kept)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(n).to_pylist()
+            found = fn(texts)
+            held = [b.column(i) for i in range(n)]
+            if many:
+                at = pa.array(found[0], type=pa.int64())
+                held, found = [c.take(at) for c in held], found[1:]
+            held = [c if c.type == arrow.field(i).type else c.cast(arrow.field(i).type) for i, c in enumerate(held)]
+            yield pa.RecordBatch.from_arrays(held + [pa.array(c, type=arrow.field(n + i).type) for i, c in enumerate(found)], schema=arrow)
+
+    return source.mapInArrow(run, schema)

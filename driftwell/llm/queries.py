@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, url_rules
+from . import exact_dedup, language, line_dedup, main_text, near_dedup, packing, pieces, quality, secrets, url_rules
 from .common import table
 
 #: Fixed by the contract of op2.
@@ -21,6 +21,11 @@ BASE_URL_RULES = [
 WORD_URL_RULES = [url_rules.word_rule(w, "block") for w in ("spam", "spam-farm", "adult", "adult-x", "casino", "porn", "xxx", "warez", "phishing", "malware")]
 
 
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, BASE_URL_RULES + WORD_URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -35,10 +40,47 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, scorer).withColumnRenamed("id", "doc_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0))
+    model = language.fit(docs.where(fold != 0))
+    out = language.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filters": op2_url_filters,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_secret_scans": op4_secret_scans,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,4 +114,15 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op7_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])
+                                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+        n AS (SELECT doc_id, len(g) AS n FROM s),
+        x AS (SELECT doc_id, unnest(g) AS g FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 85 * (p.n + q.n - m)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id""",
 }

@@ -63,13 +63,17 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and each text's first word (n+1 offsets)."""
+def word_hashes(texts: list[str | None], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and each text's first word (n+1 offsets).
+
+    ``fold``: A-Z count as a-z.
+    """
     hashes, counts, at = [], np.zeros(len(texts), dtype=np.int64), 0
     while at < len(texts):
         block, size, first = [], 0, at
         while at < len(texts) and (not block or size < _BLOCK):
-            block.append((texts[at] or "").encode("utf-8", "surrogatepass").lower())
+            raw = (texts[at] or "").encode("utf-8", "surrogatepass")
+            block.append(raw.lower() if fold else raw)
             size += len(block[-1]) + 1
             at += 1
         start, found = _word_hashes(b" ".join(block))
