@@ -22,7 +22,7 @@ def records(df: DataFrame, key: str, value: str) -> DataFrame:
 def unsigned_keys(df: DataFrame) -> DataFrame:
     """Records whose unsigned 64-bit keys arrive as text or decimal; keys of 2**63 or more raise."""
     wide = F.col("key").cast("decimal(20,0)")
-    return df.withColumn("key", F.when(wide < F.lit(0), F.raise_error(F.lit("negative key"))).when(wide >= F.lit(1 << 63).cast("decimal(20,0)"), F.raise_error(F.lit("key of 2^63 or more"))).otherwise(wide.cast("long")))
+    return df.withColumn("key", F.when(wide < F.lit(0), F.raise_error(F.lit("negative key"))).when(wide > F.lit((1 << 63) - 1).cast("decimal(20,0)"), F.raise_error(F.lit("key of 2^63 or more"))).otherwise(wide.cast("long")))
 
 
 def queries(spark, rows: list[tuple[int, int, int, int]]) -> DataFrame:
