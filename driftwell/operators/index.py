@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 PAGE = 1024
+#: Probes (a few numbers each) that are sent to the records at most.
+BROADCAST_PROBES = 1_000_000
 _ROW_BITS = 33
 
 
@@ -43,13 +45,15 @@ class PositionIndex:
 
         A probe finds its partition among the partitions' bounds, its page among that
         partition's pages and its record in that page; the last two are joins on equal
-        numbers, so a batch of probes never meets all records.
+        numbers, so a batch of probes never meets all records.  Up to BROADCAST_PROBES
+        probes go to the records; more are joined by exchange.
         """
         total = self.total()
+        few = F.broadcast if probes.count() <= BROADCAST_PROBES else lambda df: df
         parts = F.broadcast(self.parts.select("part", F.col("max_key").alias("part_max")))  # a row for each partition
         at = probes.join(parts, F.col("part_max") >= F.col("x")).groupBy("probe", "x").agg(F.min("part").alias("part"))
-        page = at.join(self.pages.select("part", "page", F.col("max_key").alias("page_max")), "part").where("page_max >= x").groupBy("probe", "x", "part").agg(F.min("page").alias("page"))
-        row = page.join(self.rows.select("part", "page", "row", "key"), ["part", "page"]).where("key >= x").groupBy("probe", "part").agg(F.min("row").alias("row"))
+        page = few(at).join(self.pages.select("part", "page", F.col("max_key").alias("page_max")), "part").where("page_max >= x").groupBy("probe", "x", "part").agg(F.min("page").alias("page"))
+        row = few(page).join(self.rows.select("part", "page", "row", "key"), ["part", "page"]).where("key >= x").groupBy("probe", "part").agg(F.min("row").alias("row"))
         found = row.join(F.broadcast(self.parts.select("part", "start")), "part").select("probe", (F.col("start") + F.col("row")).alias("hit"))
         return probes.join(found, "probe", "left").crossJoin(F.broadcast(total)).select("probe", "x", F.coalesce("hit", "total").cast("long").alias("below"))
 
@@ -68,11 +72,12 @@ def build(records: DataFrame, partitions: int | None = None) -> PositionIndex:
     row = mark.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     placed = ordered.select("key", "value", F.shiftright(mark, _ROW_BITS).cast("int").alias("part"), row.alias("row"))
     rows = written(placed.withColumn("page", (F.col("row") / PAGE).cast("int")), "positions")
-    pages = written(rows.groupBy("part", "page").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count(F.lit(1)).alias("page_cnt")), "pages")
+    # Both are small, and made again from the written rows if executors are lost.
+    pages = rows.groupBy("part", "page").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count(F.lit(1)).alias("page_cnt")).persist()
     parts = pages.groupBy("part").agg(F.sum("page_cnt").alias("cnt"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
     # A row for each partition: as many as the cluster deals with anyway.
     start = F.coalesce(F.sum("cnt").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return PositionIndex(rows, written(parts.withColumn("start", start), "parts"), pages)
+    return PositionIndex(rows, parts.withColumn("start", start).persist(), pages)
 
 
 def bucket_index(records: DataFrame, width: int) -> DataFrame:
