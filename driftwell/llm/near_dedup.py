@@ -12,8 +12,7 @@ components.
 
 What the deeper reading may have left out of large regions is made good exactly:
 where the classes of one still have several components, blocks of the region
-compare all their pairs of different components, less those that an earlier tree
-has together.  A task unites what it links and returns a spanning forest, so no
+compare all their pairs of different components that share a region.  A task unites what it links and returns a spanning forest, so no
 group's pairs are ever listed.
 
 Defined results: a text without words has no shingles and links with nothing.
@@ -42,6 +41,9 @@ SMALL = 48
 #: Neighbours on each side by longest common prefix in a large region.
 NEIGHBOURS = 2
 BLOCK = 256
+#: Sets of a task that confirms candidates: so many of a block, and so many bytes, about.
+GROUP = 512
+GROUP_BYTES = 16 << 20
 #: Candidate ids that are broadcast at most (16 bytes each); more are joined by exchange.
 BROADCAST_IDS = 1_000_000
 SEED = 90210
@@ -129,10 +131,10 @@ def _candidates(regions: DataFrame, percent: int, hashes: int, reach: int) -> Da
 def _forest(classes: DataFrame, trees: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs, members (tree, region, size, rep) of large regions at the first depth)."""
     hashes = trees * DEPTHS[-1]
-    heads = classes.select("rep", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    heads = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     pairs, large = [], None
     for k, depth in enumerate(DEPTHS):
-        source = heads if large is None else heads.join(deeper, ["rep", "tree"])  # noqa: F821
+        source = heads if large is None else deeper.join(classes.select("rep", "sig"), "rep")  # noqa: F821
         placed = source.select("rep", "tree", _region(depth).alias("region"))
         if large is not None:
             placed = written(placed, f"placed{depth}")
@@ -173,78 +175,116 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kept = [_linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(b["x"], b["y"], strict=True)]
-            yield b.loc[kept, ["a", "b"]]
+class _Union:
+    """Disjoint sets of the ids of one task."""
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(rows, "a long, b long"), "links")
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-def _completed(large: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, trees: int, percent: int) -> DataFrame | None:
-    """Links between components inside large regions; None where no region has several."""
-    hashes = trees * DEPTHS[-1]
-    least = least_matches(percent, hashes)
-    marked = written(large.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("tree", "region", "rep", F.coalesce("component", "rep").alias("label")), "marked")
-    by_label = marked.groupBy("tree", "region", "label").agg(F.count(F.lit(1)).alias("c"))
-    regions = by_label.groupBy("tree", "region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"), (F.sum("c") - F.max("c")).alias("rest"))
-    regions = written(regions.where("rest > 0"), "mixed")
-    if regions.isEmpty():
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the links among candidate pairs.
+
+    Candidates are grouped by the components that they form, so that a set goes to one
+    task and not to one for each of its pairs.  A large component is cut into blocks, and
+    a task holds the pairs of two blocks.
+    """
+    grouped = components(pairs, "candidates")
+    sizes = grouped.join(sets.select(F.col("rep").alias("id"), F.length("shingles").alias("bytes")), "id").groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("c") / GROUP), F.ceil(F.col("bytes") / GROUP_BYTES))
+    sizes = written(sizes.select("component", blocks.cast("long").alias("blocks")), "groups")
+    placed = written(grouped.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), "grouped")
+    first = placed.select(F.col("id").alias("a"), "component", F.col("block").alias("of_a"))
+    second = placed.select(F.col("id").alias("b"), F.col("block").alias("of_b"))
+    sided = pairs.join(first, "a").join(second, "b").select("component", F.least("of_a", "of_b").alias("i"), F.greatest("of_a", "of_b").alias("j"), "a", "b")
+    sided = written(sided, "sided")
+    ends = sided.select("component", "i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
+    none = F.lit(None).cast("long")
+    rows = ends.select("component", "i", "j", "rep", "shingles", none.alias("a"), none.alias("b")).unionByName(sided.select("component", "i", "j", none.alias("rep"), F.lit(None).cast("binary").alias("shingles"), "a", "b"))
+
+    def check(task: pd.DataFrame) -> pd.DataFrame:
+        docs = task[task["rep"].notna()]
+        held: dict[int, list[np.ndarray]] = {}
+        for rep, raw in zip(docs["rep"].astype("int64"), docs["shingles"], strict=True):
+            held.setdefault(rep, []).append(np.frombuffer(raw, dtype=np.uint64))
+        union, out = _Union(), []
+        asked = task[task["a"].notna()]
+        for a, b in sorted(zip(asked["a"].astype("int64"), asked["b"].astype("int64"), strict=True)):
+            if union.root(a) != union.root(b) and any(_linked(x, y, percent) for x in held.get(a, []) for y in held.get(b, [])):
+                union.join(a, b)
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return written(rows.groupBy("component", "i", "j").applyInPandas(check, "a long, b long"), "links")
+
+
+def _completed(large: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, trees: int) -> DataFrame | None:
+    """Links between components inside large regions; None where no region has several.
+
+    Large regions that share classes, which those of one group do in most trees, are one
+    area, so that a group is compared once and not in each tree.
+    """
+    least = least_matches(percent, trees * DEPTHS[-1])
+    pivots = written(large.groupBy("tree", "region").agg(F.min("rep").alias("a")), "pivots")
+    areas = components(large.join(pivots, ["tree", "region"]).select("a", F.col("rep").alias("b")).where("a <> b").distinct(), "areas")
+    areas = areas.select(F.col("id").alias("rep"), F.col("component").alias("area"))
+    marked = written(areas.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("area", "rep", F.coalesce("component", "rep").alias("label")), "marked")
+    by_label = marked.groupBy("area", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_label.groupBy("area").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"), (F.sum("c") - F.max("c")).alias("rest"))
+    mixed = written(mixed.where("rest > 0"), "mixed")
+    if mixed.isEmpty():
         return None
     # Blocks 0..p-1 hold the main component, p..p+q-1 the others; main blocks aren't paired with each other.
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    placed = marked.join(regions.select("tree", "region", "main", blocks("in_main").alias("p"), blocks("rest").alias("q")), ["tree", "region"])
+    placed = marked.join(mixed.select("area", "main", blocks("in_main").alias("p"), blocks("rest").alias("q")), "area")
     is_main = F.col("label") == F.col("main")
     h = F.xxhash64("rep")
     block = F.when(is_main, F.pmod(h, F.col("p"))).otherwise(F.col("p") + F.pmod(h, F.col("q"))).cast("int")
     last = F.col("p") + F.col("q") - 1
     others = F.when(is_main, F.sequence(F.col("p"), last)).otherwise(F.sequence(F.lit(0), last))
-    spread = placed.select("tree", "region", "rep", "label", block.alias("block"), F.explode(others).alias("other"))
-    spread = spread.select("tree", "region", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = spread.join(classes.select("rep", "n", "sig"), "rep").join(sets, "rep")
-    tasks = full.groupBy("tree", "region", "i", "j").agg(F.collect_list(F.struct("block", "rep", "label", "n", "sig", "shingles")).alias("members"))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for tree, i, j, members in zip(b["tree"], b["i"], b["j"], b["members"], strict=True):
-                out += _compare(int(tree), sorted(members, key=lambda m: (m["block"], m["rep"])), bool(i == j), percent, least)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    full = placed.select("area", "rep", "label", block.alias("block"), others.alias("others")).join(classes.select("rep", "n", "sig"), "rep").join(sets, "rep")
+    spread = full.select("area", "rep", "label", "block", "n", "sig", "shingles", F.explode("others").alias("other"))
+    tasks = spread.select("area", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label", "block", "n", "sig", "shingles")
 
-    return written(tasks.mapInPandas(rows, "a long, b long"), "completed")
+    def check(task: pd.DataFrame) -> pd.DataFrame:
+        task = task.sort_values(["block", "rep"], kind="stable")
+        return pd.DataFrame(_compare(task, bool(task["i"].iloc[0] == task["j"].iloc[0]), percent, least), columns=["a", "b"], dtype="int64")
 
+    return written(tasks.groupBy("area", "i", "j").applyInPandas(check, "a long, b long"), "completed")
 
-def _compare(tree: int, members: list, same: bool, percent: int, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the labels of two blocks, or of one with itself."""
-    sigs = np.array([np.frombuffer(bytes(m["sig"]), dtype=np.uint32) for m in members])
-    sets = [np.frombuffer(bytes(m["shingles"]), dtype=np.uint64) for m in members]
-    n, block = np.array([m["n"] for m in members]), np.array([m["block"] for m in members])
-    heads = sigs.reshape(len(members), -1, DEPTHS[-1])[:, :tree, : DEPTHS[0]]
-    parent = {m["label"]: m["label"] for m in members}
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def _compare(task: pd.DataFrame, same: bool, percent: int, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the labels of two blocks, or of one with itself.
 
-    out = []
-    for i in range(len(members) - 1):
-        rest = slice(i + 1, None)
-        able = _likely(sigs[i], n[i], sigs[rest], n[rest], percent, least)
+    Pairs count that share a region in some tree.
+    """
+    sigs = np.array([np.frombuffer(x, dtype=np.uint32) for x in task["sig"]])
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in task["shingles"]]
+    n, block = task["n"].to_numpy(), task["block"].to_numpy()
+    labels, reps = task["label"].tolist(), task["rep"].tolist()
+    heads = sigs.reshape(len(sigs), -1, DEPTHS[-1])[:, :, : DEPTHS[0]]
+    union, out = _Union(), []
+    for i in range(len(reps) - 1):
+        able = _likely(sigs[i], n[i], sigs[i + 1 :], n[i + 1 :], percent, least)
         if not same:
-            able &= block[rest] != block[i]
+            able &= block[i + 1 :] != block[i]
         at = np.flatnonzero(able) + i + 1
-        if tree and len(at):
-            at = at[~(heads[at] == heads[i]).all(axis=2).any(axis=1)]
+        at = at[(heads[at] == heads[i]).all(axis=2).any(axis=1)]
         for j in at.tolist():
-            a, b = root(members[i]["label"]), root(members[j]["label"])
-            if a != b and _linked(sets[i], sets[j], percent):
-                parent[max(a, b)] = min(a, b)
-                out.append((min(members[i]["rep"], members[j]["rep"]), max(members[i]["rep"], members[j]["rep"])))
+            if union.root(labels[i]) != union.root(labels[j]) and _linked(sets[i], sets[j], percent):
+                union.join(labels[i], labels[j])
+                out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
     return out
 
 
@@ -264,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = _confirmed(pairs, sets, percent)
     labels = components(links, "near")
     if not large.isEmpty():
-        more = _completed(large, labels, classes, sets, trees, percent)
+        more = _completed(large, labels, classes, sets, percent, trees)
         if more is not None and not more.isEmpty():
             labels = components(links.unionByName(more), "nearer")
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
