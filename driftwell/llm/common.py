@@ -83,6 +83,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts that Python takes at once, which bounds its memory.
+ROWS = 1000
+
+
 def added(df: DataFrame, keep: list[Column | str], text_col: str, made: str, fn, many: bool = False) -> DataFrame:
     """The columns ``keep`` of ``df`` and the columns ``made`` (DDL) that ``fn`` makes of each text.
 
@@ -102,7 +106,7 @@ def added(df: DataFrame, keep: list[Column | str], text_col: str, made: str, fn,
     n = len(kept)
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             texts = b.column(n).to_pylist()
             found = fn(texts)
             held = [b.column(i) for i in range(n)]

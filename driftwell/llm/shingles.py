@@ -12,7 +12,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
