@@ -17,13 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, ascii_lower, written
+from .common import ascii_lower, written
 
 MIN_CHARS = 10
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", ""))
+    return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
 def _lines(text: Column) -> Column:
@@ -42,9 +43,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = base.select("id", F.xxhash64("text").alias("row_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keys = lines.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= min_chars)
-    hashed = keys.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), F.col("line")).alias("h2"), "id", "row_hash", "pos")
-    hashed = written(hashed.repartitionByRange(partitions, "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos"), "lines")
-    firsts = hashed.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    hashed = written(keys.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), F.col("line")).alias("h2"), "id", "row_hash", "pos"), "lines")
+    ranged = hashed.select("h1", "h2", "id", "pos").repartitionByRange(partitions, "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos")
+    firsts = ranged.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     firsts = written(firsts.where("first_id < last_id").drop("last_id"), "firsts")
     gone = hashed.join(firsts, ["h1", "h2"]).where("id > first_id")
     per_doc = gone.groupBy("id", "row_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
@@ -69,12 +70,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.join(gone, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    lines, dropped = _lines(F.col(text_col)), F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(dropped, i))
-    out = joined.withColumns({
-        "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.size(dropped).cast("long"),
-        "kept_runs": kept_runs(F.size(lines), dropped),
-        "kept_text": F.when(F.size(dropped) == 0, text).otherwise(F.array_join(kept, "\n")),
-    })
+    dropped = F.coalesce(F.col("_dropped"), F.array().cast("array<int>"))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("int")
+    out = joined.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.size(dropped).cast("long"), "kept_runs": kept_runs(n_lines, dropped)})
+    # One element that holds the lines, so that they are split once and not for each run.
+    held = F.array(F.struct(_lines(F.col(text_col)).alias("lines"), F.col("kept_runs").alias("runs")))
+    kept = F.transform(held, lambda h: F.flatten(F.transform(h["runs"], lambda r: F.slice(h["lines"], r["start"] + 1, r["length"]))))[0]
+    out = out.withColumn("kept_text", F.when(F.col("n_dropped") == 0, text).otherwise(F.array_join(kept, "\n")))
     return out.drop("_id", "_hash", "_dropped")
