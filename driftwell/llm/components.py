@@ -8,23 +8,43 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _rooted(edges: DataFrame, name: str) -> DataFrame:
+    """(id, root) for every end of ``edges``: where steps to the smallest neighbour, each smaller than the last, end.
+
+    Paths shorten by halves; only rows of nodes are joined.
+    """
+    both = edges.select(F.col("a").alias("id"), "b").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("b")))
+    near = written(both.groupBy("id").agg(F.least(F.min("b"), F.col("id")).alias("root")), f"{name}-0")
+    turn = 0
+    while True:
+        turn += 1
+        jump = near.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        moved = written(near.join(jump, "root").select("id", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("moved")), f"{name}-{turn}")
+        near = moved.select("id", "root")
+        if moved.where("moved").isEmpty():
+            return near
+
+
 def components(links: DataFrame, name: str = "component") -> DataFrame:
     """(id, component) for every end of ``links`` (a, b).
 
-    Each round takes the smallest label among a node's neighbours and then the label
-    of that label, so paths shorten by halves; a round is written and compared by a
-    sum of labels alone.  Sums and minima combine before each exchange, so a node
-    with very many links is one row for each task.
+    Each round takes every node to a root and puts roots in the links' places; links
+    inside a root go and equal ones become one, so later rounds have few.  The rounds'
+    roots are then followed from the last to the first.  A component's smallest id is
+    a root of every round, so it is what remains.  Sums and minima combine before each
+    exchange, so a node with very many links is one row for each task.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), f"{name}0")
-    total, turn = None, 0
-    while True:
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total, turn = now, turn + 1
-        told = both.join(labels, both["a"] == labels["id"]).groupBy("b").agg(F.min("component").alias("told"))
-        nearer = labels.join(told, labels["id"] == told["b"]).select("id", F.least("component", "told").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("component").alias("further"))
-        labels = written(nearer.join(jump, "label").select("id", F.least("label", "further").alias("component")), f"{name}{turn}")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edges = written(links.where("a <> b").select(low.alias("a"), high.alias("b")).distinct(), f"{name}-links")
+    rounds = []
+    while not rounds or not edges.isEmpty():
+        roots = _rooted(edges, f"{name}{len(rounds)}")
+        rounds.append(roots)
+        placed = edges.join(roots.select(F.col("id").alias("a"), F.col("root").alias("of_a")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("of_b")), "b")
+        placed = placed.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        edges = written(placed.select(low.alias("a"), high.alias("b")).distinct(), f"{name}-links{len(rounds)}")
+    out = rounds.pop()
+    while rounds:
+        further = out.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        out = written(rounds.pop().join(further, "root", "left").select("id", F.coalesce("far", "root").alias("root")), f"{name}-of{len(rounds)}")
+    return out.withColumnRenamed("root", "component")

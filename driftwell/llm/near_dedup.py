@@ -105,31 +105,36 @@ def _likely(a: np.ndarray, n_a: int, rest: np.ndarray, n: np.ndarray, percent: i
 
 
 def _candidates(regions: DataFrame, percent: int, hashes: int, reach: int) -> DataFrame:
-    """Pairs of classes of each region's members, in the tree's order, up to ``reach`` places apart."""
+    """Pairs (a, b, spans) of classes of each region's members, in the tree's order, up to ``reach`` places apart.
+
+    The pairs that span connect all that a region's pairs connect.
+    """
     least = least_matches(percent, hashes)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = set()
+            out: dict[tuple[int, int], bool] = {}
             for tree, members in zip(b["tree"], b["members"], strict=True):
                 part = slice(int(tree) * 4 * DEPTHS[-1], (int(tree) + 1) * 4 * DEPTHS[-1])
                 members = sorted(members, key=lambda m: (bytes(m["sig"])[part], m["rep"]))
                 sigs = np.array([np.frombuffer(bytes(m["sig"]), dtype=np.uint32) for m in members])
                 n, reps = np.array([m["n"] for m in members]), [m["rep"] for m in members]
+                union = _Union()
                 for i in range(len(members) - 1):
                     upto = i + 1 + reach
                     for j in np.flatnonzero(_likely(sigs[i], n[i], sigs[i + 1 : upto], n[i + 1 : upto], percent, least)):
                         x, y = reps[i], reps[i + 1 + int(j)]
                         if x != y:
-                            out.add((min(x, y), max(x, y)))
-            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+                            pair = (min(x, y), max(x, y))
+                            out[pair] = union.join(x, y) or out.get(pair, False)
+            yield pd.DataFrame([(a, b, spans) for (a, b), spans in sorted(out.items())], columns=["a", "b", "spans"]).astype({"a": "int64", "b": "int64", "spans": "bool"})
 
     held = regions.groupBy("tree", "region").agg(F.collect_list(F.struct("rep", "n", "sig")).alias("members"))
-    return held.mapInPandas(rows, "a long, b long")
+    return held.mapInPandas(rows, "a long, b long, spans boolean")
 
 
 def _forest(classes: DataFrame, trees: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs, members (tree, region, size, rep) of large regions at the first depth)."""
+    """(candidate pairs (a, b, spans), members (tree, region, size, rep) of large regions at the first depth)."""
     hashes = trees * DEPTHS[-1]
     heads = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     pairs, large = [], None
@@ -151,11 +156,11 @@ def _forest(classes: DataFrame, trees: int, percent: int) -> tuple[DataFrame, Da
     else:
         # One prefix to the last depth: nearly equal sets, each with the region's first.
         firsts = written(deeper.groupBy("tree", "region").agg(F.min("rep").alias("a")), "firsts")
-        pairs.append(deeper.join(firsts, ["tree", "region"]).where("a < rep").select("a", F.col("rep").alias("b")))
+        pairs.append(deeper.join(firsts, ["tree", "region"]).where("a < rep").select("a", F.col("rep").alias("b"), F.lit(True).alias("spans")))
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
-    return written(out.distinct(), "pairs"), large
+    return written(out.groupBy("a", "b").agg(F.max("spans").alias("spans")), "pairs"), large
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -188,9 +193,11 @@ class _Union:
             x = parent[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart until now."""
         a, b = self.root(a), self.root(b)
         self.parent[max(a, b)] = min(a, b)
+        return a != b
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +207,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     task and not to one for each of its pairs.  A large component is cut into blocks, and
     a task holds the pairs of two blocks.
     """
-    grouped = components(pairs, "candidates")
+    grouped = components(pairs.where("spans"), "candidates")
     sizes = grouped.join(sets.select(F.col("rep").alias("id"), F.length("shingles").alias("bytes")), "id").groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("c") / GROUP), F.ceil(F.col("bytes") / GROUP_BYTES))
     sizes = written(sizes.select("component", blocks.cast("long").alias("blocks")), "groups")
