@@ -135,6 +135,18 @@ def test_components(spark):
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 130), 100)
 
 
+def test_components_of_links_at_random(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(330)]
+    want = {x: x for ends in links for x in ends if ends[0] != ends[1]}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want
+
+
 # -- url rules
 
 
