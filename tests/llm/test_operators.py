@@ -307,6 +307,18 @@ def test_packing_in_several_shards(spark):
     assert max(full.values()) <= 2048 and len(full) <= 1.02 * -(-sum(full.values()) // 2048)
 
 
+@pytest.mark.parametrize(("unpaired", "paired", "shard"), [(10_000, 0, packing.SHARD), (1000, 600, 200), (150, 0, 100)])
+def test_packing_of_pieces_that_fit_with_none(spark, unpaired, paired, shard):
+    sizes = [1100] * unpaired + [1024] * paired
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(df, shard=shard).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(sizes)))
+    full = Counter()
+    for r in got:
+        full[r["sequence_id"]] += r["length"]
+    assert max(full.values()) <= 2048 and len(full) <= unpaired + paired // 2 + 20
+
+
 def test_genetic_operators():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 1200) for _ in range(300)]
