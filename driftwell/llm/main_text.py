@@ -4,8 +4,8 @@ The standard library's parser streams a page; its events fill lines, one for eac
 block of the page, with the line's characters and tags and the container that it
 stands in.  The text-to-tag ratios of the lines, smoothed with a Gaussian, are
 parted into two clusters; a container is content if one of its lines falls into
-the upper cluster, or if the page itself calls it the article.  All lines of a
-content container stay, short ones too, but for those inside elements that are
+the upper cluster, and so are those that the page itself calls the article.  All
+lines of a content container stay, short ones too, but for those inside elements that are
 never article text: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, known by element, role or class.
 
@@ -142,8 +142,7 @@ def extract(html: str | None) -> str:
     soft = smoothed(ratios)
     cut = cut_between(soft)
     content = {c for (_, _, c, skipped), r in zip(lines, soft, strict=True) if not skipped and r >= cut}
-    articles = {c for _, _, c, skipped in lines if c in parser.articles and not skipped}
-    content = articles or content
+    content |= parser.articles
     return "\n\n".join(t for t, _, c, skipped in lines if not skipped and c in content)
 
 

@@ -193,6 +193,12 @@ def test_main_text_of_all_pages(spark):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+def test_main_text_beside_an_article():
+    body = [f"Paragraph {i} " + "of the body with many words in it " * 8 for i in range(6)]
+    page = "<body><div>" + "".join(f"<p>{x}</p>" for x in body) + "</div><article><p>A teaser.</p></article></body>"
+    assert main_text.extract(page) == "\n\n".join(x.strip() for x in [*body, "A teaser."])
+
+
 def test_smoothing_and_clusters():
     soft = main_text.smoothed(np.array([1.0, 1.0, 50.0, 60.0, 1.0, 1.0]))
     assert soft.argmax() in (2, 3) and abs(main_text.smoothed(np.ones(5)) - 1).max() < 1e-9
