@@ -5,7 +5,9 @@ block of the page, with the line's characters and tags and the container that it
 stands in.  The text-to-tag ratios of the lines, smoothed with a Gaussian, are
 parted into two clusters; a container is content if one of its lines falls into
 the upper cluster, and so are those that the page itself calls the article.  All
-lines of a content container stay, short ones too, but for those inside elements that are
+lines of a content container stay, short ones too, and so do the containers between
+two content containers of one parent, and, unless that parent is the body, all
+containers beside them.  Gone are the lines inside elements that are
 never article text: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, known by element, role or class.
 
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import added
 
 SIGMA = 1.5
+#: Characters a tag from which lines count alike in the clusters, so that no long line takes the upper one alone.
+#: The cut is never above half of it: where all lines are text, all are content.
+ENOUGH = 100.0
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("aside button canvas footer form head iframe input menu nav noscript object option script select style svg template textarea title".split())
@@ -50,6 +55,8 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # tag, skipped from here on, container
         self.articles: set[int] = set()
         self.containers = 0
+        self.parents = [0]  # of each container
+        self.bodies = {0}
         self.fresh = True
 
     def _line(self) -> list:
@@ -81,6 +88,9 @@ class _Lines(HTMLParser):
             self.containers += 1
             if tag in ("article", "main") or inside:
                 self.articles.add(self.containers)
+            if tag == "body":
+                self.bodies.add(self.containers)
+            self.parents.append(container)
             container = self.containers
         self.open.append((tag, skipped, container))
         if tag not in BLOCKS:
@@ -127,6 +137,26 @@ def cut_between(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def with_siblings(content: set[int], parents: list[int], bodies: set[int]) -> set[int]:
+    """``content`` and the containers beside or between two that hold content; parents come before their children."""
+    holding = set(content)
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for c in range(len(parents) - 1, 0, -1):
+        if c in holding:
+            holding.add(parents[c])
+            first[parents[c]] = c
+            last.setdefault(parents[c], c)
+    regions = {p for p, c in first.items() if c != last[p]}
+    whole: set[int] = set()  # containers that stay with all inside them
+    out = content | (regions - bodies)
+    for c in range(1, len(parents)):
+        p = parents[c]
+        if p in whole or (p in regions and (p not in bodies or first[p] < c < last[p])):
+            whole.add(c)
+    return out | whole
+
+
 def extract(html: str | None) -> str:
     """The main text; blocks joined by two newlines."""
     if not html:
@@ -139,10 +169,10 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     ratios = np.array([0.0 if skipped else len(t) / max(1, tags + 1) for t, tags, _, skipped in lines])
-    soft = smoothed(ratios)
-    cut = cut_between(soft)
+    soft = smoothed(np.minimum(ratios, ENOUGH))
+    cut = min(cut_between(soft), ENOUGH / 2) - 1e-9
     content = {c for (_, _, c, skipped), r in zip(lines, soft, strict=True) if not skipped and r >= cut}
-    content |= parser.articles
+    content = with_siblings(content, parser.parents, parser.bodies) | parser.articles
     return "\n\n".join(t for t, _, c, skipped in lines if not skipped and c in content)
 
 

@@ -199,6 +199,23 @@ def test_main_text_beside_an_article():
     assert main_text.extract(page) == "\n\n".join(x.strip() for x in [*body, "A teaser."])
 
 
+@pytest.mark.parametrize("at", [0, 20, 39])
+def test_main_text_with_a_very_long_paragraph(at):
+    blocks = [("word and more " * (1500 if i == at else 22)).strip() for i in range(40)]
+    page = "<body><nav><a href=x>Menu</a></nav>" + "".join(f"<div><p>{x}</p></div>" for x in blocks) + "</body>"
+    assert main_text.extract(page) == "\n\n".join(blocks)
+
+
+def test_main_text_of_short_blocks_beside_long_ones():
+    long, menu = "<section><p>" + "word and more " * 30 + "</p></section>", "<div>" + "<p><a href=x>Go</a></p>" * 12 + "</div>"
+    short = "<section>" + "<p>Yes.</p>" * 12 + "</section>"
+    got = main_text.extract(f"<body><div>{long}{short * 3}{long}{short * 2}</div>{menu}</body>").split("\n\n")
+    assert Counter(got) == {"Yes.": 60, ("word and more " * 30).strip(): 2}
+    assert main_text.with_siblings({2, 4}, [0, 0, 1, 1, 1, 1], {0, 1}) == {2, 3, 4}
+    assert main_text.with_siblings({2, 4}, [0, 0, 1, 1, 1, 3], {0}) == {1, 2, 3, 4, 5}
+    assert main_text.with_siblings({2}, [0, 0, 1, 1], {0}) == {2}
+
+
 def test_smoothing_and_clusters():
     soft = main_text.smoothed(np.array([1.0, 1.0, 50.0, 60.0, 1.0, 1.0]))
     assert soft.argmax() in (2, 3) and abs(main_text.smoothed(np.ones(5)) - 1).max() < 1e-9
