@@ -4,7 +4,8 @@ Three fixed patterns give the base spans.  Then every candidate string (a long
 run of token characters with digits and letters, in a sensitive context: a word
 such as key, token or password shortly before it) is measured by its novelty: the
 bytes it adds to a zstandard frame of the code around it, under a dictionary of
-code and identifiers.  Text that repeats its surroundings or common identifiers
+code and identifiers.  A candidate is a whole run, or what base spans leave of it;
+long ones are measured in blocks, and one incompressible block reports them whole.  Text that repeats its surroundings or common identifiers
 adds few bytes; a random string adds nearly as many as it has information.
 Candidates that stay incompressible are reported as spans of the kind ``novel``.
 
@@ -31,10 +32,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MAYBE = re.compile(r"passw|secret|token|api_?key", re.ASCII)
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _SENSITIVE = re.compile(r"(?i:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|signature|client[_-]?id|conn(?:ection)?[_-]?string)\b[^\n]{0,24}$")
 CONTEXT = 200
 LEAD = 48
+#: Characters of a candidate measured at once; a shorter rest goes with the block before it.
+BLOCK = 512
+SHORTEST = 16
 #: Marginal compressed bytes a character from which a string counts as incompressible.
 NOVEL = 0.62
 MIN_DIGITS = 2
@@ -77,18 +81,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def uncovered(a: int, b: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of [a, b) that no span of ``taken``, sorted, meets, if they are long enough for a candidate."""
+    parts = []
+    for start, end, _ in taken:
+        if start < b and a < end:
+            parts.append((a, start))
+            a = end
+    return [(x, y) for x, y in [*parts, (a, b)] if y - x >= SHORTEST]
+
+
+def incompressible(found: str, around: str) -> bool:
+    """Whether a block of ``found`` adds as many bytes as random characters would."""
+    last = max(1, len(found) // BLOCK) if len(found) % BLOCK < SHORTEST else -(-len(found) // BLOCK)
+    bounds = [*range(0, last * BLOCK, BLOCK), len(found)]
+    return any(novelty(found[x:y], around) >= NOVEL for x, y in zip(bounds, bounds[1:], strict=False))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Incompressible candidates in sensitive contexts that no span of ``taken`` meets."""
-    spans = []
+    spans, taken = [], sorted(taken)
     for m in _CANDIDATE.finditer(text):
-        found = m[0]
-        if sum(x.isdigit() for x in found) < MIN_DIGITS or found.isdigit() or any(a < m.end() and m.start() < b for a, b, _ in taken):
-            continue
-        if not _SENSITIVE.search(text[max(0, m.start() - LEAD) : m.start()]):
+        parts = uncovered(m.start(), m.end(), taken)
+        if not parts or not _SENSITIVE.search(text[max(0, m.start() - LEAD) : m.start()]):
             continue
         around = text[max(0, m.start() - CONTEXT) : m.start()] + text[m.end() : m.end() + CONTEXT]
-        if novelty(found, around.replace(found, "")) >= NOVEL:  # a secret that is there twice is still one
-            spans.append((m.start(), m.end(), "novel"))
+        for a, b in parts:
+            found = text[a:b]
+            if sum(x.isdigit() for x in found) < MIN_DIGITS or found.isdigit():
+                continue
+            if incompressible(found, around.replace(found, "")):  # a secret that is there twice is still one
+                spans.append((a, b, "novel"))
     return spans
 
 

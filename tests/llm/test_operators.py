@@ -236,6 +236,21 @@ def test_secret_spans():
     assert secrets.redacted("xx token=abcdefg yy", secrets.base_spans("xx token=abcdefg yy")) == "xx [secret] yy"
 
 
+@pytest.mark.parametrize("n", [511, 512, 513, 527, 528, 1024, 1600, 5000])
+def test_secrets_of_any_length_are_one_span(n):
+    rng = random.Random(n)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n - 2)) + "7a"
+    for before, hidden, after in [("private_key: ", key, " and on"), ("private_key: ", "A1" * 600 + key, "\nx"), ("bearer ", key + "B2" * 600, "")]:
+        text = before + hidden + after
+        spans = secrets.novel_spans(text, [])
+        assert spans == [(len(before), len(before + hidden), "novel")]
+        assert secrets.redacted(text, spans) == before + "[secret]" + after
+    text = "private_key: " + key + "0123456789abcdef" * 2 + "X" + key
+    base = secrets.base_spans(text)
+    assert base and secrets.redacted(text, base + secrets.novel_spans(text, base)).count(key) == 0
+    assert not secrets.novel_spans("private_key: " + "a1" * n, [])
+
+
 def test_secret_scan(spark):
     got = {r["id"]: r for r in secrets.scan(documents(spark), with_text=True).collect()}
     assert got[0]["spans"] == "" and got[0]["base_sha256"] == sha("") and got[0]["redacted"] is None
