@@ -14,7 +14,8 @@ sorted list of distinct keys, and each level is written, so a repeated task
 gives the same names.
 
 Defined results: a null text counts as empty; an empty text is one empty block.
-Rows of the same id and text are separate members of one group.  An empty table
+Rows of the same id and text are separate members of one group.  A row of null id
+is a member of its group; whether it is kept is null, as null equals no id.  An empty table
 gives an empty result.  Other columns are passed over, whatever their names.
 """
 
@@ -82,6 +83,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     base = base.select("id", F.sha2("text", 256).alias("text_sha256"), "text")
-    identity = written(base.select(*KEY).join(block_identity(base, block_chars, fingerprint), KEY), "identity")
+    named = block_identity(base, block_chars, fingerprint).withColumnsRenamed({"id": "named_id", "text_sha256": "named_sha256"})
+    same = F.col("id").eqNullSafe(F.col("named_id")) & (F.col("text_sha256") == F.col("named_sha256"))
+    identity = written(base.select(*KEY).join(named, same).select(*KEY, "level", "name"), "identity")
     groups = written(identity.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return identity.join(groups, ["level", "name"]).select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")

@@ -54,6 +54,14 @@ def test_exact(spark, block, fingerprint):
 # -- line dedup
 
 
+def test_exact_with_null_ids(spark):
+    rows = [(None, "a"), (None, "A"), (3, "a"), (None, "b" * 9), (4, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in exact_dedup.exact_duplicates(df, block_chars=4).collect())
+    b = "b" * 9
+    assert got == {(None, 3, 3, None, sha("a")): 2, (3, 3, 3, True, sha("a")): 1, (None, None, 1, None, sha(b)): 1, (4, 4, 2, True, sha("")): 1, (None, 4, 2, None, sha("")): 1}
+
+
 def test_lines(spark):
     df = documents(spark)
     rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
