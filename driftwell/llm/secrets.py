@@ -2,10 +2,11 @@
 
 Three fixed patterns give the base spans.  Then every candidate string (a long
 run of token characters with digits and letters, in a sensitive context: a word
-such as key, token or password shortly before it) is measured by its novelty: the
+such as token or password before it, on its line or the one above) is measured by its novelty: the
 bytes it adds to a zstandard frame of the code around it, under a dictionary of
 code and identifiers.  A candidate is a whole run, or what base spans leave of it;
-long ones are measured in blocks, and one incompressible block reports them whole.  Text that repeats its surroundings or common identifiers
+long ones are measured in blocks, and one incompressible block reports them whole.
+Private keys in PEM blocks are of the kind ``novel`` too.  Text that repeats its surroundings or common identifiers
 adds few bytes; a random string adds nearly as many as it has information.
 Candidates that stay incompressible are reported as spans of the kind ``novel``.
 
@@ -33,9 +34,17 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _MAYBE = re.compile(r"passw|secret|token|api_?key", re.ASCII)
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_SENSITIVE = re.compile(r"(?i:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|signature|client[_-]?id|conn(?:ection)?[_-]?string)\b[^\n]{0,24}$")
+#: A word that names a secret, on the candidate's line or the line before.
+_SENSITIVE = re.compile(
+    r"(?:(?i:pass(?:word|wd|phrase)|secret|token|(?:api|access|private|encryption|signing)[\s_-]?key|[_-]key\b|credential|authorization|bearer|signature|client[\s_-]?id|conn(?:ection)?[\s_-]?string|(?:pass|auth)(?:_|\b))|[a-z]Key\b)"
+    r"[\w-]{0,24}[^\n]{0,24}(?:\n[^\n]{0,24})?\Z"
+)
+#: The name in a run ``name=value``.
+_NAME = re.compile(r"[A-Za-z_-][A-Za-z0-9_-]*=(?=[^=])")
+#: A private key with its header; one without an end has its lines of base64 alone.
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{32,})+)")
 CONTEXT = 200
-LEAD = 48
+LEAD = CONTEXT
 #: Characters of a candidate measured at once; a shorter rest goes with the block before it.
 BLOCK = 512
 SHORTEST = 16
@@ -100,10 +109,13 @@ def incompressible(found: str, around: str) -> bool:
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Incompressible candidates in sensitive contexts that no span of ``taken`` meets."""
-    spans, taken = [], sorted(taken)
+    spans = [(m.start(), m.end(), "novel") for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else []
+    taken = sorted(taken + spans)
     for m in _CANDIDATE.finditer(text):
-        parts = uncovered(m.start(), m.end(), taken)
-        if not parts or not _SENSITIVE.search(text[max(0, m.start() - LEAD) : m.start()]):
+        name = _NAME.match(m[0])
+        start = m.start() + name.end() if name and _SENSITIVE.search(name[0]) else m.start()
+        parts = uncovered(start, m.end(), taken)
+        if not parts or not _SENSITIVE.search(text[max(0, m.start() - LEAD) : start]):
             continue
         around = text[max(0, m.start() - CONTEXT) : m.start()] + text[m.end() : m.end() + CONTEXT]
         for a, b in parts:
