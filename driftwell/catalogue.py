@@ -335,8 +335,8 @@ def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs (flush, ...) with the level and the run that the tiering plan has put them in."""
     flushed = written(runs.flush_runs(_arrived(spark, sf_dir)), "flushed")
-    plan = Plan(CAP, SCALE)
-    for f in range((flushed.agg(F.max("flush")).first()[0] or -1) + 1):
+    plan, last = Plan(CAP, SCALE), flushed.agg(F.max("flush")).first()[0]
+    for f in range(0 if last is None else last + 1):
         plan.apply(f, CAP)
     placed = spark.createDataFrame([(k, j, f) for k, j, a, z in plan.rows() for f in range(a, z + 1)], "level int, run int, flush long")
     return flushed.join(F.broadcast(placed), "flush")  # a row for each flush
