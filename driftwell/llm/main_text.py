@@ -4,7 +4,7 @@ The standard library's parser streams a page; its events fill lines, one for eac
 block of the page, with the line's characters and tags and the container that it
 stands in.  The text-to-tag ratios of the lines, smoothed with a Gaussian, are
 parted into two clusters; a container is content if one of its lines falls into
-the upper cluster, and so are those that the page itself calls the article.  All
+the upper cluster and isn't made of tags, and so are those that the page itself calls the article.  All
 lines of a content container stay, short ones too, and so do the containers between
 two content containers of one parent, and, unless that parent is the body, all
 containers beside them.  Gone are the lines inside elements that are
@@ -12,8 +12,11 @@ never article text: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, known by element, role or class.
 
 Defined results: null or empty html gives an empty text.  Unclosed and stray tags
-are taken as browsers take them in simple cases; pages of any length are read
-whole.  Pages that repeat are read each by itself.
+are taken as browsers take them in simple cases, malformed declarations as comments;
+pages of any length are read whole.  Pages that repeat are read each by itself, and
+an empty table gives an empty result.  Columns of the caller named in ``keep`` are
+passed on, but those that bear the names of the results give way to them.  Lines of
+equal ratio fall on the same side of the cut.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ SIGMA = 1.5
 #: Characters a tag from which lines count alike in the clusters, so that no long line takes the upper one alone.
 #: The cut is never above half of it: where all lines are text, all are content.
 ENOUGH = 100.0
+#: A line of two tags or more and fewer characters a tag is a list of links or the like; its neighbours don't make it content.
+TAGGED = 15.0
+#: A page's end inside a tag, comment or declaration.
+_UNFINISHED = re.compile(r"<[A-Za-z!/?]")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("aside button canvas footer form head iframe input menu nav noscript object option script select style svg template textarea title".split())
@@ -109,6 +116,17 @@ class _Lines(HTMLParser):
                 del self.open[i:]
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` opens no section in HTML: what follows up to ``>`` is a comment, as in browsers."""
+        return self.parse_bogus_comment(i, 0)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """``<!-->`` and ``<!--->`` are whole comments."""
+        for short in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(short, i):
+                return i + len(short)
+        return super().parse_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if data and (not self.fresh or not data.isspace()):
             self._line()[0].append(data)
@@ -163,6 +181,8 @@ def extract(html: str | None) -> str:
         return ""
     parser = _Lines()
     parser.feed(html)
+    if _UNFINISHED.match(parser.rawdata):
+        parser.rawdata = ""
     parser.close()
     lines = [(" ".join("".join(parts).split()), tags, container, skipped) for parts, tags, container, skipped in parser.lines]
     lines = [x for x in lines if x[0]]
@@ -171,7 +191,8 @@ def extract(html: str | None) -> str:
     ratios = np.array([0.0 if skipped else len(t) / max(1, tags + 1) for t, tags, _, skipped in lines])
     soft = smoothed(np.minimum(ratios, ENOUGH))
     cut = min(cut_between(soft), ENOUGH / 2) - 1e-9
-    content = {c for (_, _, c, skipped), r in zip(lines, soft, strict=True) if not skipped and r >= cut}
+    tagged = [tags > 1 and r < TAGGED for (_, tags, _, _), r in zip(lines, ratios, strict=True)]
+    content = {c for (_, _, c, skipped), r, links in zip(lines, soft, tagged, strict=True) if not skipped and not links and r >= cut}
     content = with_siblings(content, parser.parents, parser.bodies) | parser.articles
     return "\n\n".join(t for t, _, c, skipped in lines if not skipped and c in content)
 
