@@ -35,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     if kept:
         return kept.rstrip("/")
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftwell-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -53,7 +55,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED = "driftwell.llm.shipped"
+def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions of ``rows`` rows at ``each`` in one, and no fewer than shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def joined_by_size(many: DataFrame, sized: DataFrame, on: list[str], size: str, rows: int, each: int = 1 << 20) -> DataFrame:
+    """``many`` joined with ``sized``, one row for each key with ``size``, the rows of ``many`` that have it.
+
+    Keys of so many rows that they would fill a quarter of a task are sent to the rows (at most
+    four for each partition); the others are joined by exchange.
+    """
+    limit = rows // (4 * partitions_for(many.sparkSession, rows, each))
+    hot = F.broadcast(sized.where(F.col(size) > limit))
+    few = many.join(F.broadcast(sized.where(F.col(size) > limit).select(*on)), on, "left_anti").join(sized.where(F.col(size) <= limit), on)
+    return many.join(hot, on).unionByName(few)
 
 
 def ship(spark: SparkSession) -> None:

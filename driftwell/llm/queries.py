@@ -33,7 +33,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    runs = F.transform("kept_runs", lambda r: F.concat_ws("-", r["start"], r["start"] + r["length"] - 1))
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), F.array_join(runs, ",").alias("kept_runs"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +107,12 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
         k AS (SELECT *, {_LOWER.format(f"trim(line, {_SPACES})")} AS key FROM l),
         f AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
-        j AS (SELECT k.*, (f.key IS NOT NULL AND k.doc_id > f.first_id) AS gone FROM k LEFT JOIN f USING (key))
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-        FROM j GROUP BY doc_id""",
+        j AS (SELECT k.*, (f.key IS NOT NULL AND k.doc_id > f.first_id) AS gone FROM k LEFT JOIN f USING (key)),
+        b AS (SELECT doc_id, pos - 1 AS at, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM j WHERE NOT gone),
+        r AS (SELECT doc_id, string_agg(a || '-' || z, ',' ORDER BY a) AS runs FROM (SELECT doc_id, min(at) AS a, max(at) AS z FROM b GROUP BY doc_id, run) GROUP BY doc_id),
+        o AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+                     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id)
+        SELECT o.*, coalesce(r.runs, '') AS kept_runs FROM o LEFT JOIN r USING (doc_id)""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
