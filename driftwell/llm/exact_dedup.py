@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, joined_by_size, written
 
 BLOCK_CHARS = 4096
 KEY = ["id", "text_sha256"]
@@ -37,26 +37,34 @@ def _numbered(keys: DataFrame, columns: list[str], start: int = 0) -> DataFrame:
     return keys.sortWithinPartitions(*columns).withColumn("name", F.monotonically_increasing_id() + F.lit(start))
 
 
-def _name_blocks(blocks: DataFrame) -> DataFrame:
-    """(KEY, n, at, name) for blocks (KEY, n, at, print, block)."""
-    prints = blocks.groupBy("print").agg(F.min("block").alias("least"), F.max("block").alias("most"))
-    prints = written(_numbered(prints, ["print"]).select("print", "name", (F.col("least") != F.col("most")).alias("collided")), "prints")
-    named = blocks.select(*KEY, "n", "at", "print").join(prints.where(~F.col("collided")).select("print", "name"), "print").select(*KEY, "n", "at", "name")
+def _cut(block_chars: int, make: Callable[[Column, Column], Column]) -> Column:
+    """What ``make`` gives of the place and the content of each block of ``text``."""
+    n = F.greatest(F.ceil(F.char_length("text") / F.lit(block_chars)).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: make(i, F.substring(F.col("text"), i * block_chars + 1, F.lit(block_chars))))
+
+
+def _name_blocks(texts: DataFrame, units: DataFrame, block_chars: int, fingerprint: Callable[[Column], Column]) -> DataFrame:
+    """(KEY, n, at, name) for the blocks of ``texts``; ``units`` (KEY, prints) holds their fingerprints."""
+    contents = texts.select(F.explode(_cut(block_chars, lambda i, b: b)).alias("block")).withColumn("print", fingerprint(F.col("block")))
+    prints = contents.groupBy("print").agg(F.min("block").alias("least"), F.max("block").alias("most"), F.count(F.lit(1)).alias("held"))
+    prints = written(_numbered(prints, ["print"]).select("print", "name", "held", (F.col("least") != F.col("most")).alias("collided")), "prints")
+    placed = units.select(*KEY, F.size("prints").alias("n"), F.posexplode("prints").alias("at", "print"))
+    sound = prints.where(~F.col("collided")).select("print", "name", "held")
+    blocks = prints.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    named = joined_by_size(placed, sound, ["print"], "held", blocks).select(*KEY, "n", "at", "name")
     clashing = prints.where("collided").select("print")
     if clashing.isEmpty():
         return named
-    apart = written(blocks.join(clashing, "print", "left_semi"), "apart")
+    n = F.greatest(F.ceil(F.char_length("text") / F.lit(block_chars)).cast("int"), F.lit(1))
+    whole = texts.select(*KEY, n.alias("n"), F.inline(_cut(block_chars, lambda i, b: F.struct(i.alias("at"), b.alias("block"))))).withColumn("print", fingerprint(F.col("block")))
+    apart = written(whole.join(clashing, "print", "left_semi"), "apart")
     by_content = written(_numbered(apart.groupBy("print", "block").agg(F.count(F.lit(1)).alias("c")).drop("c"), ["print", "block"], 1 << 62), "contents")
     return named.unionByName(apart.join(by_content, ["print", "block"]).select(*KEY, "n", "at", "name"))
 
 
-def block_identity(texts: DataFrame, block_chars: int = BLOCK_CHARS, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def block_identity(texts: DataFrame, units: DataFrame, block_chars: int = BLOCK_CHARS, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(id, text_sha256, level, name) for ``texts`` (id, text_sha256, text), text not null."""
-    text = F.col("text")
-    n = F.greatest(F.ceil(F.char_length(text) / F.lit(block_chars)).cast("int"), F.lit(1))
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("at"), F.substring(text, i * block_chars + 1, F.lit(block_chars)).alias("block")))
-    blocks = texts.select(*KEY, n.alias("n"), F.inline(cut)).withColumn("print", fingerprint(F.col("block")))
-    named, level, finished = _name_blocks(blocks), 0, None
+    named, level, finished = _name_blocks(texts, units, block_chars, fingerprint), 0, None
     while True:
         named = written(named, f"level{level}")
         done = named.where("n = 1").select(*KEY, F.lit(level).alias("level"), "name")
@@ -71,8 +79,8 @@ def block_identity(texts: DataFrame, block_chars: int = BLOCK_CHARS, fingerprint
             .agg(F.max(F.when(even, F.col("name"))).alias("first"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("second"))
         )
         pairs = written(pairs, f"pairs{level}")
-        names = written(_numbered(pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("c")).drop("c"), ["first", "second"]), f"names{level}")
-        named = pairs.join(names, ["first", "second"]).select(*KEY, F.col("m").alias("n"), F.col("half").alias("at"), "name")
+        names = written(_numbered(pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("held")), ["first", "second"]), f"names{level}")
+        named = joined_by_size(pairs, names, ["first", "second"], "held", pairs.count()).select(*KEY, F.col("m").alias("n"), F.col("half").alias("at"), "name")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -83,8 +91,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     base = base.select("id", F.sha2("text", 256).alias("text_sha256"), "text")
-    named = block_identity(base, block_chars, fingerprint).withColumnsRenamed({"id": "named_id", "text_sha256": "named_sha256"})
+    units = written(base.select(*KEY, _cut(block_chars, lambda i, b: fingerprint(b)).alias("prints")), "units")
+    named = block_identity(base, units, block_chars, fingerprint).withColumnsRenamed({"id": "named_id", "text_sha256": "named_sha256"})
     same = F.col("id").eqNullSafe(F.col("named_id")) & (F.col("text_sha256") == F.col("named_sha256"))
-    identity = written(base.select(*KEY).join(named, same).select(*KEY, "level", "name"), "identity")
+    identity = written(units.select(*KEY).join(named, same).select(*KEY, "level", "name"), "identity")
     groups = written(identity.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return identity.join(groups, ["level", "name"]).select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    out = joined_by_size(identity, groups, ["level", "name"], "group_size", identity.count())
+    return out.select("id", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
