@@ -3,15 +3,20 @@
 Subwords are the byte 2-, 3- and 4-grams of the lower-cased text with white space
 and digits folded to one space; each has a bucket with an embedding.  A text is
 the mean of its subwords' embeddings, mapped to languages by a linear softmax.
-Both layers are trained by stochastic gradient descent in numpy on a bounded
-sample of labelled rows.  A part of that sample that isn't trained on gives the
-temperature of the scores and the score below which a text is rejected.
+Both layers are trained by stochastic gradient descent in numpy on a sample of
+labelled rows that is bounded in rows and bytes.  A fifth of that sample isn't
+trained on; it calibrates the scores, by a temperature, and the rejection: a text
+is rejected where its score lies below all but the REJECT_RATE least of the right
+predictions there, so that about that share of texts in known languages goes.
 
 As mean and map are linear, a trained model is one table of language logits by
 bucket, which is what executors get (2**BITS x languages floats).
 
 Defined results: null text or text without letters: ``und``, score 0, rejected.
-Without labelled rows every text is ``und``.  Other columns are passed over.
+Without labelled rows every text is ``und``.  Texts of any length are read whole.
+Repeated rows are judged each by itself, alike; of equally likely languages the first
+by name is told.  An empty table gives an empty result.  Columns of the caller that
+bear the names of the results give way to them; others are passed over or on.
 """
 
 from __future__ import annotations
@@ -34,9 +39,12 @@ EPOCHS = 8
 RATE = 0.5
 #: Rows of the training sample for each language, by hash of the id, about.
 PER_LANGUAGE = 1500
-#: A text is rejected below this part of the lowest score of a right prediction, and never at a majority.
+#: Bytes of the training sample's texts, about.
+SAMPLE_BYTES = 64 << 20
+#: Share of right predictions of held-out rows that the rejection would reject.
+REJECT_RATE = 0.002
+#: Where that is less than one row, the bound is this part of the least log-odds of a right prediction.
 REJECT_PART = 0.9
-MAJORITY = 0.5
 SEED = 20240711
 UNKNOWN = "und"
 _BLANK = re.compile(rb"[\x00-\x20\d]+")
@@ -63,6 +71,7 @@ def _mean(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
+    z = z.astype(np.float64)
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
@@ -95,7 +104,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
         for i in rng.permutation(used):
             at, share = row(i)
             x = share @ embedding[at]
-            g = _softmax(x @ weight + bias)
+            g = _softmax(x @ weight + bias).astype(np.float32)
             g[target[i]] -= 1
             g *= np.float32(min(4.0, balance[target[i]]))
             back = weight @ g
@@ -109,19 +118,30 @@ def train(texts: list[str], langs: list[str]) -> Model:
     losses = [-np.log(_softmax(z / t)[np.arange(len(held)), target[held]] + 1e-12).mean() for t in grid]
     temperature = float(grid[int(np.argmin(losses))])
     p = _softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == target[held]]
-    reject = min(MAJORITY, REJECT_PART * float(right.min())) if len(right) else 0.0
-    return Model(names, logits, bias, temperature, reject)
+    return Model(names, logits, bias, temperature, rejection(p.max(axis=1)[p.argmax(axis=1) == target[held]]))
+
+
+def rejection(right: np.ndarray) -> float:
+    """The score below which texts are rejected, from the scores of right predictions."""
+    if not len(right):
+        return 0.0
+    least = np.sort(right)
+    k = int(REJECT_RATE * len(least))
+    if k:
+        return float(least[k])
+    odds = REJECT_PART * (np.log(least[0]) - np.log1p(-min(least[0], 1 - 1e-12)))
+    return float(1 / (1 + np.exp(-odds)))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the rows of ``docs`` with a language and letters; None without any."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN) & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each language
+    if not sizes:
         return None
-    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
+    room = SAMPLE_BYTES / len(sizes)
+    share = F.create_map(*[x for r in sorted(sizes) for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"], room / r["bytes"])))])
     sample = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit(SEED)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).toPandas()
     sample = sample.sort_values(["id", "text"], kind="stable")
     if sample.empty:
