@@ -12,9 +12,9 @@ from .functions.draws import hashed
 from .operators import index as ix
 from .operators import lookup, oplog, runs, sample, spline, stats
 from .plans.engine import Engine
-from .plans.levels import Plan
+from .plans.levels import Plan, height_after
 from .sources import files, generators
-from .storage import shared_folder, written
+from .storage import new_folder, written
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,17 +181,26 @@ def sample_then_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHTED = f"""WITH r AS (SELECT o_custkey::BIGINT AS key, o_orderkey::BIGINT AS value, (o_orderkey % 4)::BIGINT AS w FROM orders WHERE o_orderkey % 4 > 0),
-    q AS (SELECT * FROM (VALUES (0, 0, 99, 200), (1, 700, 800, 200), (2, -9, -1, 200)) AS v(qid, lo, hi, k)),
-    p AS (SELECT qid::BIGINT AS qid, k, key, value, w, sum(w) OVER (PARTITION BY qid ORDER BY key, value) AS stop FROM q JOIN r ON key BETWEEN lo AND hi),
-    b AS (SELECT qid, k, sum(w)::BIGINT AS n FROM p GROUP BY ALL), d AS (SELECT qid, unnest(range(k)) AS i, n FROM b),
-    e AS (SELECT qid, i, {_h("'51'", "qid", "i")} % n AS pos FROM d)
-    SELECT e.qid, e.i, p.key, p.value FROM e JOIN p ON p.qid = e.qid AND e.pos >= p.stop - p.w AND e.pos < p.stop"""
+    q AS (SELECT * FROM (VALUES {_Q}) AS v(qid, lo, hi, k)), t AS (SELECT *, sum(w) OVER (ORDER BY key, value) AS stop FROM r),
+    b AS (SELECT qid::BIGINT AS qid, k, min(stop - w)::BIGINT AS first, sum(w)::BIGINT AS n FROM q JOIN t ON key BETWEEN lo AND hi GROUP BY ALL), d AS (SELECT qid, unnest(range(k)) AS i, first, n FROM b),
+    e AS (SELECT qid, i, first + {_h("'51'", "qid", "i")} % n AS pos FROM d)
+    SELECT e.qid, e.i, t.key, t.value FROM e ASOF JOIN t ON e.pos < t.stop"""
 
 
 @query(_WEIGHTED)
 def weighted_range_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = schema.queries(spark, [(0, 0, 99, 200), (1, 700, 800, 200), (2, -9, -1, 200)])
-    return sample.weighted_sample(_orders(spark, sf_dir), q, F.col("value") % 4, 51)
+    return sample.weighted_sample(_orders(spark, sf_dir), _ranges(spark), F.col("value") % 4, 51)
+
+
+_LARGE = 25_000
+
+
+@query(_irs(_ORDERS, 53, queries=f"SELECT i AS qid, {_h("'big'", "i")} % 1000 AS lo, {_h("'big'", "i")} % 1000 + 5 AS hi, 2 AS k FROM range({_LARGE}) AS t(i)"))
+def irs_large_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More queries than the driver places itself."""
+    lo = hashed("big", F.col("id")) % 1000
+    asked = spark.range(_LARGE).select(F.col("id").alias("qid"), lo.alias("lo"), (lo + 5).alias("hi"), F.lit(2).cast("long").alias("k"))
+    return sample.range_sample(_orders(spark, sf_dir), asked, 53)
 
 
 @query(
@@ -308,11 +317,32 @@ def tombstone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("records", "tombstones", F.expr("tombstones * 1000000 div records").alias("per_million"))
 
 
-@query("SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b")
+@query(
+    f"""WITH {_LOG}, i AS (SELECT key, value FROM log WHERE op = 'I' AND key < 900), l AS (SELECT key, value FROM ({_LIVE_ORDERS}) WHERE key >= 100)
+        SELECT (SELECT count(*) FROM (SELECT * FROM i EXCEPT ALL SELECT * FROM l)) AS only_a, (SELECT count(*) FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM i)) AS only_b"""
+)
 def sequence_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live set by running balances against the live set by multiset difference."""
+    """Inserts below one key against what is live from another key on."""
     log = _log(spark, sf_dir)
-    return oplog.multiset_equal(oplog.live(log), oplog.live_by_difference(log))
+    return oplog.multiset_equal(log.where("op = 'I' and key < 900").select("key", "value"), oplog.live(log).where("key >= 100"))
+
+
+@query(
+    f"""WITH a AS (SELECT key, value, row_number() OVER (ORDER BY key, value) AS pos FROM ({_ORDERS})), b AS (SELECT key, value, row_number() OVER (ORDER BY key, value) AS pos FROM ({_LIVE_ORDERS})),
+        f AS (SELECT a.key AS ak, a.value AS av, b.key AS bk, b.value AS bv, coalesce(a.pos, b.pos) AS pos FROM a FULL JOIN b USING (pos) WHERE a.key IS DISTINCT FROM b.key OR a.value IS DISTINCT FROM b.value),
+        m AS (SELECT count(*) = 0 AS same, coalesce(arg_min(ak IS NULL OR (bk IS NOT NULL AND (ak < bk OR (ak = bk AND av < bv))), pos), FALSE) AS less FROM f)
+        SELECT 'live' AS other, same AS equal, less, same OR less AS less_equal FROM m UNION ALL SELECT 'itself', TRUE, FALSE, TRUE FROM orders HAVING count(*) >= 0"""
+)
+def sequence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in sequence against those that are live, and against themselves."""
+    a, b = ix.build(_orders(spark, sf_dir)), ix.build(oplog.live_counts(_log(spark, sf_dir)), weight="n")
+    return oplog.sequence_order(a, b).select(F.lit("live").alias("other"), "*").unionByName(oplog.sequence_order(a, a).select(F.lit("itself").alias("other"), "*"))
+
+
+@query(f"SELECT key, value FROM (SELECT *, row_number() OVER (ORDER BY key, value) - 1 AS pos FROM ({_ORDERS})) WHERE pos % 7 <> 3")
+def erase_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ix.build(_orders(spark, sf_dir))
+    return oplog.erase_at(index, spark.range(index.size).where("id % 7 = 3").select(F.col("id").alias("pos")))
 
 
 # -- runs and levels
@@ -398,24 +428,91 @@ def bucket_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_irs(_LIVE_ORDERS, 52))
 def engine_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log in four batches through the engine, persisted, restored and sampled."""
+    return Engine.restore(spark, _engine(spark, sf_dir, 4).persist()).range_sample(_ranges(spark), 52)
+
+
+def _engine(spark: SparkSession, sf_dir: str, batches: int) -> Engine:
+    """An engine that has taken the log in so many batches."""
+    engine, log = Engine(spark, cap=CAP, scale=SCALE), _log(spark, sf_dir)
+    width = (log.agg(F.max("seq")).first()[0] or 0) // batches + 1
+    for part in range(batches):
+        engine.apply(log.where(F.expr(f"seq div {width}") == part))
+    return engine
+
+
+#: Runs of the engine: the flushes of each, reduced, the oldest without deletes.
+_ENGINE_RUNS = f"""{_LEVELS}, placed AS (SELECT level, first + (flush - first) // width * width AS begin, flush, key, value, op, n FROM runs JOIN lv ON flush >= first AND flush < first + c * width),
+    e AS (SELECT level, begin, flush, key, value, sum(n) FILTER (WHERE op = 'I') AS ins, sum(n) FILTER (WHERE op = 'D') AS del FROM placed GROUP BY ALL),
+    s AS (SELECT *, sum(coalesce(ins, 0) - coalesce(del, 0)) OVER (PARTITION BY level, begin, key, value ORDER BY flush) - coalesce(ins, 0) AS low, coalesce(ins, 0) - coalesce(del, 0) AS d FROM e),
+    r AS (SELECT level, begin, key, value, sum(d) AS total, least(0, min(low)) AS low FROM s GROUP BY ALL),
+    m AS (SELECT level, begin, total - low AS ins, CASE WHEN begin = 0 AND level > 0 THEN 0 ELSE -low END AS del FROM r)"""
+
+
+@query(
+    f"""{_ENGINE_RUNS} SELECT level::INT AS level, (row_number() OVER (PARTITION BY level ORDER BY begin) - 1)::INT AS run, sum(ins + del)::BIGINT AS reccnt, sum(del)::BIGINT AS tscnt, TRUE AS on_disk
+        FROM m GROUP BY level, begin"""
+)
+def engine_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs, records, tombstones and bytes of the levels after the whole log has come as one batch and is flushed."""
     engine = Engine(spark, cap=CAP, scale=SCALE)
-    log = _log(spark, sf_dir)
-    for part in range(4):
-        engine.apply(log.where(_quarter(part)))
-    return Engine.restore(spark, engine.persist()).range_sample(_ranges(spark), 52)
+    engine.apply(_log(spark, sf_dir))
+    engine.flush()
+    return engine.stats().select("level", "run", "reccnt", "tscnt", (F.col("bytes") > 0).alias("on_disk"))
+
+
+@query(_LIVE_ORDERS)
+def engine_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is live after batches, versions and a vacuum, as the restored engine sees it."""
+    engine = _engine(spark, sf_dir, 3)
+    engine.persist()
+    engine.flush()
+    engine.persist()
+    engine.vacuum()
+    return Engine.restore(spark, engine.folder).live()
+
+
+@query(
+    f"""WITH {_LOG} SELECT qid::BIGINT AS qid, any_value(k)::BIGINT AS draws, 0::BIGINT AS dead FROM (VALUES {_Q}) AS v(qid, lo, hi, k) JOIN ({_LIVE_ORDERS}) ON key BETWEEN lo AND hi GROUP BY qid"""
+)
+def engine_sample_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws by rejection over the runs of an engine: how many each range got, and how many of them aren't live there."""
+    engine = _engine(spark, sf_dir, 3)
+    got = engine.sample_by_runs(_ranges(spark), 54).join(_ranges(spark).select("qid", "lo", "hi"), "qid")
+    alive = oplog.live_counts(_log(spark, sf_dir)).withColumn("alive", F.lit(True))
+    wrong = F.col("alive").isNull() | ~F.col("key").between(F.col("lo"), F.col("hi"))
+    return got.join(alive, ["key", "value"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("draws"), F.count_if(wrong).alias("dead"))
 
 
-def _quarter(part: int) -> Column:
-    lo, hi = part * 8000, (part + 1) * 8000
-    return (F.col("seq") >= lo) & (F.col("seq") < hi) if part < 3 else F.col("seq") >= lo
+@query(
+    f"""WITH RECURSIVE a AS (SELECT unnest([100, 101, 300, 1000, 5000, 20000, 77777]) AS appends), f AS (SELECT appends, greatest(0, (appends + 99) // 100 - 1) AS m FROM a),
+        l AS (SELECT appends, m, 0 AS height FROM f UNION ALL SELECT appends, (m - 1) // {SCALE}, height + 1 FROM l WHERE m > 0)
+        SELECT appends::BIGINT AS appends, max(height)::BIGINT AS height FROM l GROUP BY appends"""
+)
+def height_by_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, height_after(n, 100, SCALE)) for n in (100, 101, 300, 1000, 5000, 20000, 77777)], "appends long, height long")
 
 
 # -- order, percentiles, histograms
 
 
-@query("SELECT count(*) AS n, 0::BIGINT AS breaks FROM orders")
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_custkey < before)::BIGINT AS breaks FROM (SELECT o_custkey, lag(o_custkey) OVER (ORDER BY o_orderkey) AS before FROM orders)")
 def verify_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.disorder(ix.build(_orders(spark, sf_dir)).positions)
+    """Breaks in the order of customers when orders stand by their own keys, by chunks with borders."""
+    o = _table(spark, sf_dir, "orders")
+    return stats.disorder(o.select(F.col("o_orderkey").cast("long").alias("pos"), F.col("o_custkey").cast("long").alias("key"), F.lit(0).cast("long").alias("value")), chunk=500)
+
+
+@query(f"SELECT page, pos, key, value FROM (SELECT *, pos // {ix.PAGE} AS page FROM (SELECT row_number() OVER (ORDER BY key, value) - 1 AS pos, key, value FROM ({_ORDERS}))) WHERE page BETWEEN 1 AND 5")
+def page_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.page_range(ix.build(_orders(spark, sf_dir), 1), 1, 5)
+
+
+@query(f"SELECT pos, key, value FROM (SELECT row_number() OVER (ORDER BY key, value) - 1 AS pos, key, value FROM ({_ORDERS})) WHERE pos % 97 = 5")
+def positional_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 97th ordinal, and two that no record has."""
+    index = ix.build(_orders(spark, sf_dir))
+    asked = spark.range(5, index.size, 97).unionByName(spark.createDataFrame([(-1,), (1 << 40,)], "id long"))
+    return ix.at_positions(index, asked.select(F.col("id").alias("pos")))
 
 
 @query(f"(SELECT * FROM ({_ORDERS}) ORDER BY key, value LIMIT 50)")
@@ -494,6 +591,35 @@ def mixed_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.mixed(spark, 20_000, 60, 5, 3).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT (row_number() OVER (ORDER BY key, value) - 1) // 700 AS batch, key, value FROM ({_ORDERS})")
+def record_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through files of records, read in batches of 700."""
+    path = new_folder(spark, "records")
+    files.write_records(_orders(spark, sf_dir).repartitionByRange(3, "key", "value").sortWithinPartitions("key", "value"), path)
+    return files.record_batches(spark, path, 700)
+
+
+@query("SELECT o_custkey::BIGINT AS key, o_orderkey::BIGINT AS value, (o_orderkey % 4)::BIGINT AS weight FROM orders")
+def weighted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "weighted")
+    _orders(spark, sf_dir).select("value", "key", F.col("value") % 4).write.csv(path, sep="\t")
+    return files.read_weighted(spark, path)
+
+
+@query(
+    f"""WITH q AS (SELECT i AS qid, 100 + {_h("'5'", "'range'", "i")} % (901) AS lo FROM range(300) AS t(i))
+        SELECT qid, lo, lo + 99 AS hi, 1000::BIGINT AS k FROM q"""
+)
+def random_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.ranges(spark, 300, 100, 1099, 0.1, seed=5)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {_h("'11'", "o_orderkey")}, o_orderkey) - 1 AS pos, o_orderkey::BIGINT AS value FROM orders")
+def external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in the order that a hash of their keys gives, with their places in it."""
+    return generators.placed_shuffle(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("value")), 11, "value")
+
+
 # -- learned index
 
 _KNOTS = """WITH p AS (SELECT o_custkey::BIGINT AS key, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos FROM orders),
@@ -515,20 +641,37 @@ def spline_search_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys whose first ordinal lies outside the search bounds of greedy corridors of error 32."""
     index = ix.build(_orders(spark, sf_dir))
     firsts = spline.first_positions(index).select(F.col("key").alias("probe"), F.col("key").alias("x"), "pos")
-    total = index.total().first()[0]
+    total = index.size
     bounds = spline.search_bounds(spline.estimate(written(spline.greedy_knots(index, 32), "knots"), firsts.select("probe", "x")), total, 32)
     both = firsts.select("probe", "pos").join(bounds, "probe")
     return both.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if((F.col("pos") < F.col("begin")) | (F.col("pos") >= F.col("stop"))).alias("outside"))
 
 
+@query(f"""{_KNOTS} SELECT count(*) AS knots, count(*) * 16 AS bytes FROM k""")
+def spline_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spline.size_of(spline.fixed_knots(ix.build(_orders(spark, sf_dir)), 512))
+
+
 # -- streaming
 
 
+def _stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    _log(spark, sf_dir).repartition(4, "key").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(schema.OP_LOG).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+
+
 @query(_LIVE_ORDERS)
 def streaming_ingest_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live set of a log that came as a stream of files."""
-    folder = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{id(object())}"
-    _log(spark, sf_dir).repartition(4, "key").write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(schema.OP_LOG).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    ingest.ingest(stream, f"{folder}/log").awaitTermination()
+    folder = new_folder(spark, "stream")
+    ingest.ingest(_stream(spark, sf_dir, folder), f"{folder}/log").awaitTermination()
     return oplog.live(ingest.read_log(spark, f"{folder}/log"))
+
+
+@query(_LIVE_ORDERS)
+def streaming_engine_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live set of an engine that took a stream of files, as of its last manifest."""
+    folder = new_folder(spark, "stream")
+    engine = Engine(spark, cap=CAP, scale=SCALE)
+    ingest.into(_stream(spark, sf_dir, folder), engine, f"{folder}/progress").awaitTermination()
+    return Engine.restore(spark, engine.folder).live()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .index import PositionIndex
+from .index import PositionIndex, sent
 
 
 def range_counts(index: PositionIndex, queries: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def range_counts(index: PositionIndex, queries: DataFrame) -> DataFrame:
 
 def selectivity(index: PositionIndex, queries: DataFrame) -> DataFrame:
     """(qid, n, total, per_million): integer share of the records in range."""
-    return index.bounds(queries).crossJoin(F.broadcast(index.total())).select("qid", "n", F.col("total").cast("long").alias("total"), F.expr("cast(n * 1000000 div nullif(total, 0) as bigint)").alias("per_million"))
+    total = F.lit(index.size).cast("long").alias("total")
+    return index.bounds(queries).select("qid", "n", total).select("qid", "n", "total", F.expr("cast(n * 1000000 div nullif(total, 0) as bigint)").alias("per_million"))
 
 
 def lower_bound(index: PositionIndex, probes: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def equal_range(index: PositionIndex, probes: DataFrame) -> DataFrame:
 
 
 def multiplicity(records: DataFrame, probes: DataFrame) -> DataFrame:
-    """(probe, x, n): copies of each key; 0 where it is absent. Counts are made before the join."""
-    counts = records.join(F.broadcast(probes.select(F.col("x").alias("key")).distinct()), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """(probe, x, n): copies of each key; 0 where it is absent. Counts are made before the join; few probes are sent to the records."""
+    counts = records.join(sent(probes.select(F.col("x").alias("key")).distinct()), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return probes.join(counts, probes["x"] == counts["key"], "left").select("probe", "x", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

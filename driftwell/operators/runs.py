@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .index import in_range
-from .oplog import PAIR, _repeated, live_counts
+from .oplog import PAIR, live_counts, reduced
 
 
-def arrivals(log: DataFrame, cap: int, partitions: int | None = None) -> DataFrame:
-    """``log`` with ``ordinal`` (from 0, by seq) and ``flush`` = ordinal div cap.
-
-    Ordinals come from range partitions of seq and their counts, not from one sorted task.
-    """
-    from ..storage import written
+def arrivals(log: DataFrame, cap: int) -> DataFrame:
+    """``log`` with ``ordinal`` (from 0, by seq) and ``flush`` = ordinal div cap."""
     from . import index as ix
 
-    positions = ix.build(log.select(F.col("seq").alias("key"), F.lit(0).cast("long").alias("value")), partitions)
-    placed = positions.positions.select(F.col("key").alias("seq"), F.col("pos").alias("ordinal"))
-    return written(log.join(placed, "seq").withColumn("flush", F.expr(f"ordinal div {cap}")), "arrivals")
+    return ix.numbered(log, "seq").withColumn("flush", F.expr(f"ordinal div {cap}"))
+
+
+def _both(ends: DataFrame, *by: str) -> DataFrame:
+    """Rows (by, n, op) of reduced pairs: the deletes that act on older runs, then what is left."""
+    rows = F.array(F.struct((F.col("total") - F.col("low")).alias("n"), F.lit("I").alias("op")), F.struct((-F.col("low")).alias("n"), F.lit("D").alias("op")))
+    return ends.select(*by, F.inline(rows)).where("n > 0").select(*by, F.col("n").cast("long").alias("n"), "op")
 
 
 def flush_runs(arrived: DataFrame, cancel: bool = True) -> DataFrame:
@@ -30,14 +30,8 @@ def flush_runs(arrived: DataFrame, cancel: bool = True) -> DataFrame:
     """
     if not cancel:
         return arrived.groupBy("flush", *PAIR, "op").agg(F.count(F.lit(1)).alias("n")).select("flush", *PAIR, "n", "op")
-    from pyspark.sql import Window as W
-
-    sign = F.when(F.col("op") == "I", 1).otherwise(-1).cast("long")
-    # A window holds one pair within one flush: cap rows at most.
-    s = F.sum(sign).over(W.partitionBy("flush", *PAIR).orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    ends = arrived.withColumn("s", s).withColumn("sign", sign).groupBy("flush", *PAIR).agg(F.sum("sign").alias("total"), F.least(F.lit(0), F.min("s")).alias("low"))
-    both = ends.select("flush", *PAIR, F.inline(F.array(F.struct((F.col("total") - F.col("low")).alias("n"), F.lit("I").alias("op")), F.struct((-F.col("low")).alias("n"), F.lit("D").alias("op")))))
-    return both.where("n > 0").select("flush", *PAIR, "n", "op")
+    ends = reduced(arrived.withColumn("n", F.lit(1).cast("long")), ["flush", *PAIR])
+    return _both(ends, "flush", *PAIR)
 
 
 def merge_runs(runs: DataFrame, group: str, last: bool = False) -> DataFrame:
@@ -45,35 +39,43 @@ def merge_runs(runs: DataFrame, group: str, last: bool = False) -> DataFrame:
 
     A flush's deletes act on older flushes, before its inserts.  ``last``: unmatched deletes go.
     """
-    from pyspark.sql import Window as W
-
     each = runs.groupBy(group, "flush", *PAIR).agg(F.sum(F.when(F.col("op") == "I", F.col("n")).otherwise(0)).alias("ins"), F.sum(F.when(F.col("op") == "D", F.col("n")).otherwise(0)).alias("del"))
     # The balance after a flush is S; its lowest point lies after its deletes. A window has a row for each flush.
     w = W.partitionBy(group, *PAIR).orderBy("flush")
     s = F.sum(F.col("ins") - F.col("del")).over(w.rowsBetween(W.unboundedPreceding, 0))
     ends = each.withColumn("low", s - F.col("ins")).groupBy(group, *PAIR).agg(F.sum(F.col("ins") - F.col("del")).alias("total"), F.least(F.lit(0), F.min("low")).alias("low"))
-    both = ends.select(group, *PAIR, F.inline(F.array(F.struct((F.col("total") - F.col("low")).alias("n"), F.lit("I").alias("op")), F.struct((-F.col("low")).alias("n"), F.lit("D").alias("op")))))
-    return both.where("n > 0" + (" and op = 'I'" if last else "")).select(group, *PAIR, F.col("n").cast("long").alias("n"), "op")
+    both = _both(ends, group, *PAIR)
+    return both.where("op = 'I'") if last else both
 
 
 def flatten(log: DataFrame, partitions: int | None = None) -> DataFrame:
     """(pos, key, value): all live records in order, with their ordinals."""
     from . import index as ix
 
-    return ix.build(_repeated(live_counts(log)), partitions).positions
+    return ix.build(live_counts(log), partitions, weight="n").positions
 
 
 def sample_ranges(runs: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, flush, low, high, cnt): the interval of each run that a query's range covers, and its records.
 
-    ``low`` and ``high`` are positions in the run, high excluded.  Runs are summed by key first.
+    ``low`` and ``high`` are positions in the run, high excluded.  Runs are summed by key, one index over
+    (flush, key) holds them all, and a query's two ends are looked up in each run.
     """
-    keys = runs.groupBy("flush", "key").agg(F.sum("n").alias("n"))
-    met = keys.crossJoin(F.broadcast(queries)).groupBy("qid", "flush").agg(
-        F.coalesce(F.sum(F.when(F.col("key") < F.col("lo"), F.col("n"))), F.lit(0)).cast("long").alias("low"),
-        F.coalesce(F.sum(F.when(in_range(), F.col("n"))), F.lit(0)).cast("long").alias("cnt"),
-    )
-    return met.where("cnt > 0").select("qid", "flush", "low", (F.col("low") + F.col("cnt")).alias("high"), "cnt")
+    from . import index as ix
+
+    place = lambda flush, key: F.struct(flush.alias("flush"), key.cast("long").alias("key"))
+    sums = runs.groupBy("flush", "key").agg(F.sum("n").alias("w"))
+    index = ix.build(sums.select(place(F.col("flush"), F.col("key")).alias("key"), F.lit(0).cast("long").alias("value"), "w"), weight="w")
+    flushes = sorted(r["flush"] for r in runs.select("flush").distinct().collect())  # a row for each run
+    each = queries.select("qid", "lo", F.try_add(F.col("hi"), F.lit(1).cast("long")).alias("after"), F.explode(F.array(*[F.lit(f).cast("long") for f in flushes])).alias("flush"))
+    no_key = F.lit(None).cast("long")
+    after = F.when(F.col("after").isNull(), place(F.col("flush") + 1, no_key)).otherwise(place(F.col("flush"), F.col("after")))
+    ends = F.array(place(F.col("flush"), no_key), place(F.col("flush"), F.col("lo")), after)
+    probes = each.select("qid", "flush", F.posexplode(ends).alias("end", "x")).select(F.struct("qid", "flush", "end").alias("probe"), "x")
+    below = index.count_below(probes).groupBy(F.col("probe.qid").alias("qid"), F.col("probe.flush").alias("flush"))
+    at = below.agg(*[F.max(F.when(F.col("probe.end") == e, F.col("below"))).alias(name) for e, name in enumerate(("base", "first", "stop"))])
+    met = at.select("qid", "flush", (F.col("first") - F.col("base")).alias("low"), (F.col("stop") - F.col("base")).alias("high"), (F.col("stop") - F.col("first")).alias("cnt"))
+    return met.where("cnt > 0")
 
 
 def run_weights(ranges: DataFrame) -> DataFrame:

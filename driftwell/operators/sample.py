@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.draws import below
 from . import index as ix
 from .index import PositionIndex, in_range
+from .oplog import live_counts, repeated
 
 #: Draws (three numbers each) that are sent to the records; more are joined by exchange.
 BROADCAST_DRAWS = 2_000_000
+#: Queries that ``range_sample_by_rank`` sends to the records.
+RANKED = 10_000
 
 
 def draws(bounds: DataFrame, seed: int) -> DataFrame:
@@ -26,12 +29,49 @@ def draws(bounds: DataFrame, seed: int) -> DataFrame:
 
 
 def range_sample(records: DataFrame | PositionIndex, queries: DataFrame, seed: int = 0) -> DataFrame:
-    """(qid, i, key, value): k draws for each query, through the position index."""
+    """(qid, i, key, value): k draws for each query, through the position index.
+
+    Drawn ordinals become rows of partitions; of a small batch the scan reads only partitions and rows
+    that its ranges cover.
+    """
     index = records if isinstance(records, PositionIndex) else ix.build(records)
-    drawn = draws(index.bounds(queries), seed)
-    asked = queries.agg(F.coalesce(F.sum(F.greatest("k", F.lit(0))), F.lit(0))).first()[0]
-    drawn = F.broadcast(drawn) if asked <= BROADCAST_DRAWS else drawn
-    return index.positions.join(drawn, "pos").select("qid", "i", "key", "value")
+    bounds, few = index.placed(queries)
+    if not index.size:
+        return index.rows.select(F.lit(0).cast("long").alias("qid"), F.lit(0).cast("long").alias("i"), "key", "value").limit(0)
+    rows = index.rows if few is None else index.touched([(q["first"], q["first"] + q["n"]) for q in few if q["k"] and q["k"] > 0])
+    asked = sum(max(0, q["k"] or 0) for q in few) if few is not None else queries.agg(F.coalesce(F.sum(F.greatest("k", F.lit(0))), F.lit(0))).first()[0]
+    located = index.located(draws(bounds, seed))
+    if index.weighted:
+        return _weighed(index, rows, located, asked)
+    located = located.select("qid", "i", "part", F.col("at").alias("row"))
+    return rows.join(F.broadcast(located) if asked <= BROADCAST_DRAWS else located, ["part", "row"]).select("qid", "i", "key", "value")
+
+
+def records_at(index: PositionIndex, drawn: DataFrame) -> DataFrame:
+    """(qid, i, key, value) of the ordinals ``drawn`` (qid, i, pos)."""
+    located = index.located(drawn)
+    if index.weighted:
+        return _weighed(index, index.rows, located, BROADCAST_DRAWS + 1)
+    return index.rows.join(ix.sent(located.select("qid", "i", "part", F.col("at").alias("row")), BROADCAST_DRAWS), ["part", "row"]).select("qid", "i", "key", "value")
+
+
+def _weighed(index: PositionIndex, rows: DataFrame, located: DataFrame, asked: int) -> DataFrame:
+    """The records that hold the ordinals of ``located`` (qid, i, part, at) in an index with weights.
+
+    A grid of as many cells as there are pages, in the average, stands for the bounds of the pages; within
+    its page a draw meets running weights of ix.PAGE records at most.
+    """
+    few = F.broadcast if asked <= BROADCAST_DRAWS else lambda df: df
+    n_pages = sum(-(-p.cnt // ix.PAGE) for p in index.held)
+    cell = max(1, -(-index.size // n_pages))
+    ends = F.sequence(F.expr(f"page_start div {cell}"), F.expr(f"(page_start + page_weight - 1) div {cell}"))
+    grid = index.pages.select("part", "page", "page_start", "page_weight", F.explode(ends).alias("cell"))
+    paged = few(located.select("qid", "i", "part", "at", F.expr(f"at div {cell}").alias("cell"))).join(grid, ["part", "cell"]).where("at >= page_start and at < page_start + page_weight")
+    paged = paged.select("qid", "i", "part", "page", (F.col("at") - F.col("page_start")).alias("inside"))
+    met = rows.join(few(paged.select("part", "page").distinct()), ["part", "page"], "left_semi")
+    upto = F.sum("weight").over(W.partitionBy("part", "page").orderBy("row").rowsBetween(W.unboundedPreceding, 0))
+    placed = met.withColumn("stop", upto).select("part", "page", "key", "value", "stop", (F.col("stop") - F.col("weight")).alias("begin"))
+    return placed.join(few(paged), ["part", "page"]).where("inside >= begin and inside < stop").select("qid", "i", "key", "value")
 
 
 def range_sample_by_rank(records: DataFrame, queries: DataFrame, seed: int = 0) -> DataFrame:
@@ -39,7 +79,7 @@ def range_sample_by_rank(records: DataFrame, queries: DataFrame, seed: int = 0)
 
     For a few queries over ranges that fit a task each; it reads every record for every query.
     """
-    hits = records.join(F.broadcast(queries), in_range()).select("qid", "k", "key", "value")
+    hits = records.join(ix.sent(queries, RANKED), in_range()).select("qid", "k", "key", "value")
     ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("key", "value")).cast("long") - 1)
     sizes = ranked.groupBy("qid", "k").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.lit(0).cast("long"))
     return ranked.drop("k").join(draws(sizes, seed), ["qid", "pos"]).select("qid", "i", "key", "value")
@@ -51,18 +91,8 @@ def key_sample(records: DataFrame | PositionIndex, queries: DataFrame, seed: int
 
 
 def weighted_sample(records: DataFrame, queries: DataFrame, weight: Column | str, seed: int = 0) -> DataFrame:
-    """Draws in proportion to whole-number weights: a record of weight w stands for w ordinals.
-
-    Weights are expanded to runs of ordinals, never to copies: the position index is over
-    records, and the running weight of a partition's records finds the draw.
-    """
-    w = F.col(weight) if isinstance(weight, str) else weight
-    hits = records.withColumn("w", w.cast("long")).where("w > 0").join(F.broadcast(queries), in_range()).select("qid", "k", "key", "value", "w")
-    upto = F.sum("w").over(W.partitionBy("qid").orderBy("key", "value").rowsBetween(W.unboundedPreceding, 0))
-    placed = hits.withColumn("stop", upto).withColumn("start", F.col("stop") - F.col("w"))
-    sizes = hits.groupBy("qid", "k").agg(F.sum("w").alias("n")).withColumn("first", F.lit(0).cast("long"))
-    drawn = draws(sizes, seed)
-    return placed.drop("k").join(drawn, "qid").where("pos >= start and pos < stop").select("qid", "i", "key", "value")
+    """Draws in proportion to whole-number weights: a record of weight w stands for w ordinals of the index."""
+    return range_sample(ix.build(records, weight=weight), queries, seed)
 
 
 def sample_then_delete(records: DataFrame, queries: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -70,27 +100,25 @@ def sample_then_delete(records: DataFrame, queries: DataFrame, seed: int = 0) ->
     victims = range_sample(records, queries, seed).select("key", "value").distinct()
     counts = records.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
     left = counts.join(victims.withColumn("hit", F.lit(1).cast("long")), ["key", "value"], "left").select("key", "value", (F.col("n") - F.coalesce("hit", F.lit(0))).alias("n"))
-    return victims, left.where("n > 0").select("key", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("key", "value")
+    return victims, repeated(left)
 
 
 def rejection_stats(log: DataFrame, queries: DataFrame) -> DataFrame:
     """What rejection would meet in each range, exactly: (qid, candidates, tombstones, out_of_range, deleted, acceptable).
 
     Tombstones are rejected first, then records outside the range, then deleted ones.
-    The log is summed by key before it meets the queries.
+    The log is summed by key, and two indexes over the sums count what lies in the ranges.
     """
-    from .oplog import live_counts
-
-    by_key = log.groupBy("key").agg(F.count_if(F.col("op") == "I").alias("records"), F.count_if(F.col("op") == "D").alias("tombstones"))
-    living = live_counts(log).groupBy("key").agg(F.sum("n").alias("living"))
-    keys = by_key.join(living, "key", "left").select("key", "records", "tombstones", F.coalesce("living", F.lit(0)).alias("living"))
-    inside = keys.join(F.broadcast(queries), in_range(), "right").groupBy("qid").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "living")])
-    total = log.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("op") == "I").alias("inserted"), F.count_if(F.col("op") == "D").alias("dead"))
-    return inside.crossJoin(F.broadcast(total)).select(
+    inserted = log.where(F.col("op") == "I").groupBy("key").agg(F.count(F.lit(1)).alias("w"))
+    living = live_counts(log).groupBy("key").agg(F.sum("n").alias("w"))
+    of = lambda sums, name: ix.build(sums.withColumn("value", F.lit(0).cast("long")), weight="w").bounds(queries.select("qid", "lo", "hi")).select("qid", F.col("n").alias(name))
+    total = log.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("op") == "I").alias("inserted"), F.count_if(F.col("op") == "D").alias("dead")).first()
+    both = of(inserted, "records").join(of(living, "living"), "qid")
+    return both.select(
         "qid",
-        "candidates",
-        F.col("dead").alias("tombstones"),
-        (F.col("inserted") - F.col("records")).cast("long").alias("out_of_range"),
+        F.lit(total["candidates"]).cast("long").alias("candidates"),
+        F.lit(total["dead"]).cast("long").alias("tombstones"),
+        (F.lit(total["inserted"]) - F.col("records")).cast("long").alias("out_of_range"),
         (F.col("records") - F.col("living")).cast("long").alias("deleted"),
         F.col("living").cast("long").alias("acceptable"),
     )

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import index as ix
 from .index import PositionIndex
 
 
@@ -60,19 +61,26 @@ def greedy_knots(index: PositionIndex, max_error: int) -> DataFrame:
 def estimate(knots: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe, x, estimate): the spline at x in whole numbers, rounded down; x is clamped to the knots.
 
-    Knots are few (a row for each segment) and are checked against the broadcast limit by Spark.
+    The knots have a position index of their own, so a probe's segment is the knot at its ordinal and the next one.
     """
-    from pyspark.sql import Window as W
-
-    w = W.orderBy("kx")
-    segments = knots.select(F.col("x").alias("kx"), F.col("y").alias("ky")).select("kx", "ky", F.lead("kx").over(w).alias("nx"), F.lead("ky").over(w).alias("ny"))
-    ends = knots.agg(F.min("x").alias("a"), F.max("x").alias("z"))
-    clamped = probes.crossJoin(F.broadcast(ends)).select("probe", "x", F.least(F.greatest("x", "a"), "z").alias("c"))
-    hit = clamped.join(segments, (F.col("c") >= F.col("kx")) & (F.col("nx").isNull() | (F.col("c") < F.col("nx"))))
+    index = ix.build(knots.select(F.col("x").alias("key"), F.col("y").alias("value")))
+    if not index.size:
+        return probes.select("probe", "x", F.lit(None).cast("long").alias("estimate")).limit(0)
+    a, z = index.held[0].least, index.held[-1].most
+    clamped = probes.select("probe", "x", F.least(F.greatest("x", F.lit(a)), F.lit(z)).alias("c"))
+    upto = index.count_below(clamped.select("probe", F.try_add(F.col("c"), F.lit(1).cast("long")).alias("x"))).select("probe", (F.col("below") - 1).alias("pos"))
+    here = index.positions.select("pos", F.col("key").alias("kx"), F.col("value").alias("ky"))
+    after = index.positions.select((F.col("pos") - 1).alias("pos"), F.col("key").alias("nx"), F.col("value").alias("ny"))
+    hit = clamped.join(upto, "probe").join(here, "pos").join(after, "pos", "left")
     rise = F.expr("cast((c - kx) as decimal(19,0)) * cast((ny - ky) as decimal(19,0)) div cast((nx - kx) as decimal(19,0))")
     return hit.select("probe", "x", F.when(F.col("nx").isNull(), F.col("ky")).otherwise(F.col("ky") + rise).cast("long").alias("estimate"))
 
 
+def size_of(knots: DataFrame) -> DataFrame:
+    """One row (knots, bytes): what a spline takes, two numbers of eight bytes a knot."""
+    return knots.agg(F.count(F.lit(1)).alias("knots")).select("knots", (F.col("knots") * 16).alias("bytes"))
+
+
 def search_bounds(estimates: DataFrame, total: int, max_error: int) -> DataFrame:
     """``estimates`` with [begin, stop) that holds the first ordinal of a key among ``total`` records."""
     return estimates.withColumn("begin", F.greatest(F.col("estimate") - max_error, F.lit(0))).withColumn("stop", F.least(F.col("estimate") + max_error + 2, F.lit(total)))

@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import index as ix
+
 
 def percentiles(df: DataFrame, value: Column | str, at: list[float]) -> DataFrame:
-    """One row: least, the exact percentiles (linear between ranks) as p0, p1, ..., most.
+    """One row: least, the exact percentiles (linear between ranks) as p0, p1, ..., most; nulls are passed over.
 
-    Exact percentiles keep a count for each distinct value; round values of wide domains first.
+    Ranks are read from a position index, so no task holds the values.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    got = df.agg(F.min(v).alias("least"), F.percentile(v, F.array(*[F.lit(x) for x in at])).alias("p"), F.max(v).alias("most"))
-    return got.select("least", *[F.col("p")[i].alias(f"p{i}") for i in range(len(at))], "most")
+    index = ix.build(df.select(v.alias("key"), F.lit(0).cast("long").alias("value")).where("key is not null"))
+    n = index.size
+    if not n:
+        return df.sparkSession.createDataFrame([(None,) * (len(at) + 2)], ", ".join(f"{c} double" for c in ["least", *[f"p{i}" for i in range(len(at))], "most"]))
+    ranks = [0.0, *[q * (n - 1) for q in at], float(n - 1)]
+    asked = sorted({x for r in ranks for x in (int(r), min(int(r) + 1, n - 1))})
+    rows = {r["pos"]: r["key"] for r in ix.at_positions(index, df.sparkSession.createDataFrame([(x,) for x in asked], "pos long")).collect()}
+    values = [rows[int(r)] + (r - int(r)) * (rows[min(int(r) + 1, n - 1)] - rows[int(r)]) for r in ranks]
+    return df.sparkSession.createDataFrame([tuple(values)], ", ".join(f"{c} double" for c in ["least", *[f"p{i}" for i in range(len(at))], "most"]))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

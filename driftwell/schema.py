@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 RECORD = T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.LongType())])
 OP_LOG = T.StructType([T.StructField("seq", T.LongType()), *RECORD.fields, T.StructField("op", T.StringType())])
 QUERY = T.StructType([T.StructField(c, T.LongType()) for c in ("qid", "lo", "hi", "k")])
-MANIFEST = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("run", T.IntegerType()), T.StructField("path", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("reccnt", "tscnt", "min_key", "max_key")])
+#: What runs hold: operations of n copies.
+RUN = T.StructType([*OP_LOG.fields, T.StructField("n", T.LongType())])
 
 INSERT, DELETE = "I", "D"
 

@@ -50,22 +50,39 @@ def query_block(lines: DataFrame, block: int, expected: float, size: int = 100)
     return lines.where(mine & (F.col("lo") < F.col("hi")) & (F.abs(F.col("sel") - F.lit(expected)) / F.lit(expected) < 0.1))
 
 
+def record_batches(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(batch, key, value): the records of ``read_records`` in batches of ``size`` lines, in the files' order.
+
+    Places of lines come from the names of files, the offsets of their blocks and the order within them.
+    """
+    from ..operators import index as ix
+
+    df = spark.read.csv(path, sep="\t", schema="value LONG, key LONG", mode="FAILFAST")
+    placed = df.select("key", "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return ix.numbered(placed, "file", "block", "line").select(F.expr(f"ordinal div {size}").alias("batch"), "key", "value")
+
+
 def read_keys(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Records of a binary file of little-endian 64-bit keys; ``value`` is the place in the file.
+    """Records of binary files of little-endian 64-bit keys; ``value`` is the place in all files, by name.
 
-    Files are split by Spark into rows of whole files, so a large set should be many files; their
-    keys are numbered each from 0.
+    A file is read by one task in pieces, so a large set should be many files.
     """
+    files = spark.read.format("binaryFile").load(path)
+    starts, start = [], 0
+    for name, length in sorted(map(tuple, files.select("path", "length").collect())):  # a row for each file
+        starts.append((name, start))
+        start += length // 8
+    begins = F.broadcast(spark.createDataFrame(starts, "path string, begin long"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
+            for content, begin in zip(b["content"], b["begin"], strict=True):
                 keys = np.frombuffer(content, dtype="<u8")
                 if len(keys) and keys.max() >= 1 << 63:
                     raise ValueError("key of 2^63 or more")
                 for at in range(0, len(keys), 1 << 20):
                     part = keys[at : at + (1 << 20)].astype(np.int64)
-                    yield pd.DataFrame({"key": part, "value": np.arange(at, at + len(part))})
+                    yield pd.DataFrame({"key": part, "value": np.arange(begin + at, begin + at + len(part))})
 
-    df = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "key long, value long")
+    df = files.select("path", "content").join(begins, "path").select("content", "begin").mapInPandas(rows, "key long, value long")
     return df.where(F.col("value") < limit) if limit is not None else df

@@ -25,6 +25,13 @@ def external_shuffle(df: DataFrame, seed: int = 0, *by: str) -> DataFrame:
     return df.orderBy(hashed(seed, *[F.col(c) for c in by]), *by)
 
 
+def placed_shuffle(df: DataFrame, seed: int = 0, *by: str) -> DataFrame:
+    """``df`` with ``pos``, its place in the order of ``external_shuffle``."""
+    from ..operators import index as ix
+
+    return ix.numbered(df.withColumn("__h", hashed(seed, *[F.col(c) for c in by])), "__h", *by).withColumnRenamed("ordinal", "pos").drop("__h")
+
+
 def ranges(spark: SparkSession, n: int, lo: int, hi: int, share: float, k: int = 1000, seed: int = 0) -> DataFrame:
     """n queries that each cover ``share`` of the key domain [lo, hi], at random places."""
     width = max(0, int((hi - lo) * share))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.engine import Engine
 from ..schema import OP_LOG
 
 
@@ -22,6 +23,23 @@ def ingest(stream: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def into(stream: DataFrame, engine: Engine, progress: str, source: str = "stream", once: bool = True) -> StreamingQuery:
+    """Starts taking ``stream`` (seq, key, value, op) into the engine, batch by batch.
+
+    The number of the last batch taken stands in the manifest, which is written with each batch, so
+    a batch that comes again after a failure, or after ``Engine.restore``, is taken once.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > engine.consumed.get(source, -1):
+            engine.apply(batch.select(*OP_LOG.names))
+            engine.consumed[source] = batch_id
+            engine.persist()
+
+    writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", progress)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     """All operations taken so far."""
     return spark.read.schema(OP_LOG).option("basePath", f"{folder}/ops").parquet(f"{folder}/ops")
