@@ -115,7 +115,7 @@ def test_lines_are_streamed_in_order(spark):
     frequent = line_dedup.frequent_hashes(hashed, 5000, 6)
     met = line_dedup.with_first(hashed, frequent, 6)
     plan = met._jdf.queryExecution().executedPlan().toString()
-    window, exchange = plan.index("Window [first"), plan.index("rangepartitioning(h1")
+    window, exchange = plan.index("Window ["), plan.index("rangepartitioning(h1")
     assert "hashpartitioning" not in plan[:exchange] and window < exchange
     assert plan[:exchange].count("Sort [h1") == 1 and plan[window:exchange].count("Exchange") == 1
     assert "Python" not in plan and "Pandas" not in plan
