@@ -176,6 +176,14 @@ def test_near_empty(spark):
     assert near_dedup.near_duplicates(documents(spark).limit(0)).count() == 0
 
 
+def test_near_with_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (7, text), (9, text + " x"), (None, "alone and apart from all others"), (None, text + " y"), (None, ""), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(df).collect())
+    assert got == {(None, 56, 7, None): 2, (7, 56, 7, True): 1, (9, 57, 7, False): 1, (None, 2, None, None): 1, (None, 57, None, None): 1, (None, 0, None, None): 1, (3, 0, 3, True): 1}
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
@@ -461,6 +469,26 @@ def test_pieces_are_the_library_s(spark):
     assert got[9]["ids"] == codec.library.encode(LONG)
 
 
+def test_pieces_of_an_empty_table(spark):
+    assert pieces.encode_decode(documents(spark).limit(0)).count() == 0
+    codec = _codec()
+    assert codec.encode_batch([]) == [] and codec.encode_batch([None, ""]) == [("", ""), ("", "")]
+
+
+def test_pieces_forget_and_check(monkeypatch):
+    """A small memory changes nothing; ids that the library doesn't give end the job."""
+    codec = pieces.Codec(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "théâtre", "\u2581x", "\u65e5\u672c", "a\nb", "zq\x01", "word"]) + rng.choice("abc") for _ in range(30)) for _ in range(60)]
+    want = codec.encode_batch(texts)
+    monkeypatch.setattr(pieces, "MEMORY", 5)
+    assert [codec.encode_batch([t])[0] for t in texts] == want == codec.encode_batch(texts)
+    assert [w[1] for w in want] == [codec.library.decode(codec.library.encode(t)) for t in texts]
+    monkeypatch.setattr(codec, "encode_segments", lambda segments: [[5]] * len(segments))
+    with pytest.raises(ValueError, match="otherwise"):
+        codec.encode_batch(["something new here"])
+
+
 def test_heap_and_lockstep_agree():
     codec = _codec()
     words = ["▁" + w for w in ("thentionre", "été", "anthropomorphic", "Straßenbahn", "aaaaaaaa", "日本語", "▁▁▁x")]
@@ -476,11 +504,20 @@ def test_tokens_are_the_library_s():
     own, rng = packing.Tokens(tokenizer_path("byte_bpe_50k.json")), random.Random(5)
     library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "é", "日", "😀", "1", "²", "_", "\u00a0", "\x1c", "\x85", "\u200b", "<|endoftext|>", "ß", "!", "\r", "　"]
-    for _ in range(500):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(25)))
+    latin = [chr(c) for c in range(256)] + ["  ", "'re", "the", " a"]
+    for k in range(3000):
+        text = "".join(rng.choice(latin if k % 2 else alphabet) for _ in range(rng.randrange(25)))
         assert np.frombuffer(own(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_are_checked_in_each_batch(monkeypatch):
+    own = packing.Tokens(tokenizer_path("byte_bpe_50k.json"))
+    own.checked([None, "", "some text here"])
+    monkeypatch.setattr(own, "latin_part", re.compile("."))
+    with pytest.raises(ValueError, match="otherwise"):
+        own.checked([None, "x" * 9000, "some text here"])
+
+
 def _packed(spark, df, rows, capacity=2048):
     from tokenizers import Tokenizer
 
