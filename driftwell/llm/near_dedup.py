@@ -10,14 +10,17 @@ standard deviations.  A large region is read deeper and deeper, to neighbours by
 longest common prefix.  Candidates are confirmed on the full sets, and links give
 components.
 
-What the deeper reading may have left out of large regions is made good exactly:
+What the deeper reading may have left out of large regions is made good:
 where the classes of one still have several components, blocks of the region
-compare all their pairs of different components that share a region.  A task unites what it links and returns a spanning forest, so no
+compare all their pairs of different components that share a region, less again those
+apart by six standard deviations (1e-9 of the links at the threshold, beside MISS).  A task unites what it links and returns a spanning forest, so no
 group's pairs are ever listed.
 
 Defined results: a text without words has no shingles and links with nothing.
-Repeated rows are of one class; rows of one id count as linked.  Empty tables
-give an empty result.  Columns other than id and text are passed over.
+Repeated rows are of one class; rows of one id count as linked.  A row of null id
+names no class: its component is that of the other rows of its set, null without any,
+and whether it is kept is null.  Texts of any length are read whole.  Empty tables
+give an empty result.  Columns other than id and text are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -305,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     trees = trees_for(percent)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(_signed(base, width, percent), "signatures")
-    classes = written(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")), "classes")
+    classes = written(signed.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")), "classes")
     pairs, large = _forest(classes, trees, percent)
     sets = _sets(base, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(large.select("rep")), width)
     links = _confirmed(pairs, sets, percent)

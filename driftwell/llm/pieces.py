@@ -13,7 +13,10 @@ batch are encoded and decoded again by the sentencepiece library, which must
 agree; a difference ends the job.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to
-an empty text.  Texts of any length are encoded whole.
+an empty text.  Texts of any length are encoded whole.  Of pairs of equal score the
+leftmost merges first, as in the library.  Repeated rows are encoded each by itself,
+alike; an empty table gives an empty result.  Other columns are passed over, whatever
+their names.
 """
 
 from __future__ import annotations

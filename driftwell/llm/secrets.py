@@ -12,7 +12,9 @@ Candidates that stay incompressible are reported as spans of the kind ``novel``.
 
 Defined results: a null or empty text has no spans.  Texts of any length are
 scanned whole; the context of a candidate is a bounded window around it.
-Repeated rows are scanned each by itself.
+Repeated rows are scanned each by itself, alike; an empty table gives an empty result.
+Spans that tie in their start stand in the order of their kinds, then by their end.
+Columns of the caller that bear the names of the results give way to them.
 """
 
 from __future__ import annotations
