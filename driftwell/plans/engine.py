@@ -32,7 +32,7 @@ class Engine:
     """
 
     #: Rounds of ``sample_by_runs`` after which what is still rejected is drawn from what is live.
-    ROUNDS = 12
+    ROUNDS = 4
 
     def __init__(self, spark: SparkSession, folder: str | None = None, cap: int = 1_000_000, scale: int = 6, policy: str = "tiering", max_tombstones: float = 1.0, tombstone_cap: int | None = None) -> None:
         self.spark, self.folder = spark, folder or new_folder(spark, "engine")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
+
 import pytest
 
+from conftest import TOP
 from driftwell.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -12,6 +17,37 @@ def test_query(name, same):
     same(name, QUERIES, ORACLE_SQL)
 
 
+@pytest.mark.parametrize("name", ["engine_sample", "streaming_ingest_equiv", "streaming_engine_equiv", "irs_orders", "flatten_sorted", "record_batches"])
+def test_second_run_is_the_same(name, same):
+    """Queries that write leave nothing that a further run in the session would read."""
+    same(name, QUERIES, ORACLE_SQL)
+    same(name, QUERIES, ORACLE_SQL)
+
+
+def test_oracles_follow_the_data(duck, tmp_path):
+    """No oracle is a constant: each gives other rows for other tables, but where it reads no table."""
+    import duckdb
+
+    from conftest import DATA, TABLES
+
+    other = duckdb.connect()
+    for t in TABLES:
+        other.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet' LIMIT 40")
+    for name, sql in ORACLE_SQL.items():
+        if any(t in sql for t in ("orders", "lineitem", "events")):
+            a, b = duck.execute(sql).fetchall(), other.execute(sql).fetchall()
+            assert sorted(map(str, a)) != sorted(map(str, b)), name
+
+
+def test_library_without_the_training_data_operators(tmp_path):
+    """With both their folders gone the rest imports, and its entry runs."""
+    copy = tmp_path / "repo"
+    shutil.copytree(TOP, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.json", "spark-warehouse"))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q); import bench"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_entry(spark):
     import __spark_entry__
 
