@@ -35,7 +35,7 @@ SMALL_BATCH = 20_000
 #: Probes (a few numbers each) that are sent to the records at most.
 BROADCAST_PROBES = 1_000_000
 #: Intervals of rows that a scan's filter names at most; nearer ones are joined beyond that.
-INTERVALS = 128
+INTERVALS = 16
 #: Copies of a weighted record that one array makes.
 COPIES = 1 << 16
 
@@ -110,24 +110,29 @@ class PositionIndex:
 
     def below(self, keys: list) -> list[int]:
         """The weight below each key: one job over the pages that the keys fall into."""
-        most = [_plain(p.most) for p in self.held]
-        out, asked = [], []
-        for i, x in enumerate(keys):
-            at = len(most) if x is None else bisect.bisect_left(most, _plain(x))
-            part = self.held[at] if at < len(most) else None
-            out.append(self.size if part is None else part.start)
-            if part is not None and _plain(part.least) < _plain(x):
-                asked.append((i, part.part, x))
-        if asked:
-            schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("x", self.key_type)])
-            probes = F.broadcast(self.spark.createDataFrame(asked, schema))
-            named = F.col("part").isin(sorted({p for _, p, _ in asked}))
-            pages = self.pages.where(named).join(probes, "part").where("max_key >= x").groupBy("i", "part", "x").agg(F.min(F.struct("page", "page_start")).alias("at"))
-            pages = F.broadcast(pages.select("i", "part", "x", F.col("at.page").alias("page"), "at.page_start"))
-            inside = self.rows.where(named).join(pages, ["part", "page"]).groupBy("i", "page_start").agg(F.sum(F.when(F.col("key") < F.col("x"), F.col("weight")).otherwise(0)).alias("n"))
-            for r in inside.collect():
-                out[r["i"]] += r["page_start"] + r["n"]
-        return out
+        return below_each([self], self, keys)[0]
+
+    def _aim(self, x) -> tuple[int, Part | None]:
+        """The weight of the partitions below a key, and the partition that it falls into."""
+        at = len(self._most) if x is None else bisect.bisect_left(self._most, _plain(x))
+        part = self.held[at] if at < len(self.held) else None
+        return self.size if part is None else part.start, part if part is not None and _plain(part.least) < _plain(x) else None
+
+    @cached_property
+    def _most(self) -> list:
+        return [_plain(p.most) for p in self.held]
+
+    def _inside(self, asked: list[tuple[int, int, object]]) -> dict[int, int]:
+        """The weight below each key (number, part, key) within its partition."""
+        if not asked:
+            return {}
+        schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("x", self.key_type)])
+        probes = F.broadcast(self.spark.createDataFrame(asked, schema))
+        named = F.col("part").isin(sorted({p for _, p, _ in asked}))
+        pages = self.pages.where(named).join(probes, "part").where("max_key >= x").groupBy("i", "part", "x").agg(F.min(F.struct("page", "page_start")).alias("at"))
+        pages = F.broadcast(pages.select("i", "part", "x", F.col("at.page").alias("page"), "at.page_start"))
+        found = self.rows.where(named).join(pages, ["part", "page"]).groupBy("i", "page_start").agg(F.sum(F.when(F.col("key") < F.col("x"), F.col("weight")).otherwise(0)).alias("n"))
+        return {r["i"]: r["page_start"] + r["n"] for r in found.collect()}
 
     def _joined_below(self, probes: DataFrame) -> DataFrame:
         """``count_below`` by joins on equal numbers: a probe's partition, then its page, then its record."""
@@ -193,15 +198,39 @@ class PositionIndex:
         if 2 * sum(z - a for a, z in merged) >= self.size:
             return self.rows
         starts = [p.start for p in self.held]
-        keep, parts = None, set()
+        keep, parts = [], set()
         for a, z in merged:
             for p in self.held[max(0, bisect.bisect_right(starts, a) - 1) : bisect.bisect_left(starts, z)]:
                 parts.add(p.part)
-                here = F.col("part") == p.part
-                if not self.weighted and (a > p.start or z < p.start + p.weight):
-                    here = here & (F.col("row") >= a - p.start) & (F.col("row") < z - p.start)
-                keep = here if keep is None else keep | here
-        return self.rows.where(F.col("part").isin(sorted(parts))).where(keep)
+                whole = self.weighted or (a <= p.start and z >= p.start + p.weight)
+                keep.append(f"part = {p.part}" if whole else f"part = {p.part} and row >= {max(0, a - p.start)} and row < {z - p.start}")
+        near = self.rows.where(F.col("part").isin(sorted(parts)))
+        return near if len(keep) > 2 * INTERVALS else near.where(" or ".join(f"({x})" for x in keep))
+
+
+def below_each(indexes: list[PositionIndex], whole: PositionIndex, keys: list) -> list[list[int]]:
+    """The weight below each key in each of the indexes that ``whole`` chains, in one job."""
+    out, asked, offset = [], [], 0
+    for index in indexes:
+        aims = [index._aim(x) for x in keys]
+        asked += [(len(out) * len(keys) + i, p.part + offset, x) for i, (x, (_, p)) in enumerate(zip(keys, aims, strict=True)) if p is not None]
+        out.append([n for n, _ in aims])
+        offset += index.held[-1].part + 1 if index.held else 0
+    for i, n in whole._inside(asked).items():
+        out[i // len(keys)][i % len(keys)] += n
+    return out
+
+
+def chained(indexes: list[PositionIndex]) -> PositionIndex:
+    """The indexes one after the other as one: its ordinals are theirs plus the sizes of those before."""
+    rows = pages = None
+    held, offset, start = [], 0, 0
+    for x in indexes:
+        moved = [df.withColumn("part", F.col("part") + F.lit(offset)) for df in (x.rows, x.pages)]
+        rows, pages = (moved[0], moved[1]) if rows is None else (rows.unionByName(moved[0]), pages.unionByName(moved[1]))
+        held += [Part(p.part + offset, p.cnt, p.weight, p.start + start, p.least, p.most) for p in x.held]
+        offset, start = offset + (x.held[-1].part + 1 if x.held else 0), start + x.size
+    return PositionIndex(rows, pages, tuple(held), indexes[0].key_type, any(x.weighted for x in indexes))
 
 
 def build(records: DataFrame, partitions: int | None = None, weight: Column | str | None = None) -> PositionIndex:

@@ -35,7 +35,8 @@ def repeated(counts: DataFrame) -> DataFrame:
 
 
 def reduced(ops: DataFrame, by: list[str]) -> DataFrame:
-    """(by, total, low, first_seq, last_seq) of operations (by, seq, op, n): the balance after all and its lowest point, 0 at most.
+    """(by, total, low, inserted, first_seq, last_seq) of operations (by, seq, op, n): the balance after all, its lowest point,
+    0 at most, and what inserts bring in all.
 
     With running sums S_t of what inserts add and deletes take and a floor at zero, what is left
     is S_n - min(0, min S_t).  Sums and minima of chunks of the log combine, so a pair that
@@ -43,10 +44,10 @@ def reduced(ops: DataFrame, by: list[str]) -> DataFrame:
     """
     signed = ops.withColumn("__d", F.when(F.col("op") == INSERT, F.col("n")).otherwise(-F.col("n"))).withColumn("__chunk", F.floor(F.col("seq") / CHUNK))
     s = F.sum("__d").over(W.partitionBy(*by, "__chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    chunks = signed.withColumn("__s", s).groupBy(*by, "__chunk").agg(F.sum("__d").alias("total"), F.min("__s").alias("low"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    chunks = signed.withColumn("__s", s).groupBy(*by, "__chunk").agg(F.sum("__d").alias("total"), F.min("__s").alias("low"), F.sum(F.greatest("__d", F.lit(0))).alias("inserted"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     before = F.coalesce(F.sum("total").over(W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     joined = chunks.withColumn("low", before + F.col("low")).groupBy(*by)
-    return joined.agg(F.sum("total").cast("long").alias("total"), F.least(F.lit(0), F.min("low")).cast("long").alias("low"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+    return joined.agg(F.sum("total").cast("long").alias("total"), F.least(F.lit(0), F.min("low")).cast("long").alias("low"), F.sum("inserted").cast("long").alias("inserted"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
 
 
 def live_counts_fast(log: DataFrame) -> DataFrame:

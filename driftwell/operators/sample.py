@@ -47,12 +47,13 @@ def range_sample(records: DataFrame | PositionIndex, queries: DataFrame, seed: i
     return rows.join(F.broadcast(located) if asked <= BROADCAST_DRAWS else located, ["part", "row"]).select("qid", "i", "key", "value")
 
 
-def records_at(index: PositionIndex, drawn: DataFrame) -> DataFrame:
-    """(qid, i, key, value) of the ordinals ``drawn`` (qid, i, pos)."""
+def records_at(index: PositionIndex, drawn: DataFrame, asked: int) -> DataFrame:
+    """(qid, i, key, value) of the ordinals ``drawn`` (qid, i, pos), ``asked`` of them."""
     located = index.located(drawn)
     if index.weighted:
-        return _weighed(index, index.rows, located, BROADCAST_DRAWS + 1)
-    return index.rows.join(ix.sent(located.select("qid", "i", "part", F.col("at").alias("row")), BROADCAST_DRAWS), ["part", "row"]).select("qid", "i", "key", "value")
+        return _weighed(index, index.rows, located, asked)
+    located = located.select("qid", "i", "part", F.col("at").alias("row"))
+    return index.rows.join(F.broadcast(located) if asked <= BROADCAST_DRAWS else located, ["part", "row"]).select("qid", "i", "key", "value")
 
 
 def _weighed(index: PositionIndex, rows: DataFrame, located: DataFrame, asked: int) -> DataFrame:

@@ -169,46 +169,44 @@ class Engine:
         again.  So a batch costs the index of its own run and lookups of the records drawn.
         Draws rejected ROUNDS times, and those of ranges that have nothing live, are settled on what is live there.
         """
-        few = queries.collect()  # a batch of ranges
-        pieces = []
-        for run, index in enumerate(self.run_indexes()):
-            pieces += [(q["qid"], run, q["first"], q["n"]) for q in index.placed(queries)[1] if q["n"]]
-        width: dict[int, int] = {}
-        rows = []
-        for qid, run, first, n in pieces:
-            rows.append((qid, run, first, width.get(qid, 0), width.get(qid, 0) + n))
-            width[qid] = width.get(qid, 0) + n
-        schema = "qid long, i long, key long, value long"
-        if not rows:
+        few = queries.select("qid", "lo", "hi", "k").collect()  # a batch of ranges
+        few = [q for q in few if (q["k"] or 0) > 0 and q["lo"] is not None and q["hi"] is not None and q["lo"] <= q["hi"]]
+        indexes, schema = self.run_indexes(), "qid long, i long, key long, value long"
+        if not few or not indexes:
             return self.spark.createDataFrame([], schema)
-        asked = [(q["qid"], q["k"], width[q["qid"]]) for q in few if q["qid"] in width and (q["k"] or 0) > 0]
-        part = F.broadcast(self.spark.createDataFrame(rows, "qid long, run int, first long, low long, high long"))
+        whole = ix.chained(indexes)
+        below = ix.below_each(indexes, whole, [q["lo"] for q in few] + [q["hi"] + 1 if q["hi"] < (1 << 63) - 1 else None for q in few])
+        width, pieces, start = {}, [], 0
+        for index, found in zip(indexes, below, strict=True):
+            for q, first, stop in zip(few, found, found[len(few) :], strict=False):
+                if stop > first:
+                    at = width.get(q["qid"], 0)
+                    pieces.append((q["qid"], start + first, at, at + stop - first))
+                    width[q["qid"]] = at + stop - first
+            start += index.size
+        asked = [(q["qid"], q["k"], width[q["qid"]]) for q in few if q["qid"] in width]
+        if not asked:
+            return self.spark.createDataFrame([], schema)
+        part = F.broadcast(self.spark.createDataFrame(pieces, "qid long, first long, low long, high long"))
         waiting = self.spark.createDataFrame(asked, "qid long, k long, width long").select("qid", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
-        met = self.log().where(_any_range([(q["lo"], q["hi"]) for q in few]))
-        taken, indexes = [], [x for x in self.run_indexes()]
+        met, taken, left = self.log().where(_any_range([(q["lo"], q["hi"]) for q in few])), [], sum(k for _, k, _ in asked)
         for turn in range(self.ROUNDS):
             u = hashed(seed, "run", F.lit(turn), F.col("qid"), F.col("i")) % F.col("width")
-            drawn = waiting.withColumn("u", u).join(part, "qid").where("u >= low and u < high").select("qid", "i", "width", "run", (F.col("first") + F.col("u") - F.col("low")).alias("pos"))
-            drawn = written(drawn, "drawn")
-            found = None
-            for run, index in enumerate(indexes):
-                got = sample.records_at(index, drawn.where(F.col("run") == run).select("qid", "i", "pos"))
-                found = got if found is None else found.unionByName(got)
-            found = written(found, "found")
-            pairs = ix.sent(found.select(*PAIR).distinct())
-            ends = reduced(met.join(pairs, PAIR, "left_semi"), PAIR).select(*PAIR, (F.col("total") - F.col("low")).alias("alive"))
-            inserts = met.where(F.col("op") == INSERT).join(pairs, PAIR, "left_semi").groupBy(*PAIR).agg(F.sum("n").alias("inserts"))
-            judged = found.join(ends, PAIR).join(inserts, PAIR)
-            keep = hashed(seed, "keep", F.lit(turn), F.col("qid"), F.col("i")) % F.col("inserts") < F.col("alive")
-            judged = written(judged.select("qid", "i", *PAIR, keep.alias("keep")), "judged")
+            drawn = waiting.withColumn("u", u).join(part, "qid").where("u >= low and u < high").select("qid", "i", (F.col("first") + F.col("u") - F.col("low")).alias("pos"))
+            found = written(sample.records_at(whole, drawn, left), "found")
+            pairs = found.select(*PAIR).distinct()
+            ends = reduced(met.join(F.broadcast(pairs) if left <= ix.BROADCAST_PROBES else pairs, PAIR, "left_semi"), PAIR)
+            keep = hashed(seed, "keep", F.lit(turn), F.col("qid"), F.col("i")) % F.col("inserted") < F.col("total") - F.col("low")
+            judged = written(found.join(ends, PAIR).select("qid", "i", *PAIR, keep.alias("keep")), "judged")
             taken.append(judged.where("keep").drop("keep"))
-            waiting = drawn.select("qid", "i", "width").join(judged.where(~F.col("keep")).select("qid", "i"), ["qid", "i"])
-            if judged.where(~F.col("keep")).isEmpty():
+            again = judged.where(~F.col("keep")).select("qid", "i")
+            left = again.count()
+            if not left:
                 break
+            waiting = again.join(F.broadcast(self.spark.createDataFrame(list(width.items()), "qid long, width long")), "qid")
         else:
             late = {r["qid"] for r in waiting.select("qid").distinct().collect()}  # among the queries of the batch
-            ranges = [q for q in few if q["qid"] in late]
-            alive = live_counts(met.where(_any_range([(q["lo"], q["hi"]) for q in ranges])))
+            alive = live_counts(met.where(_any_range([(q["lo"], q["hi"]) for q in few if q["qid"] in late])))
             exact = sample.range_sample(ix.build(written(alive, "alive"), weight="n"), queries.where(F.col("qid").isin(sorted(late))), seed)
             taken.append(exact.join(waiting.select("qid", "i"), ["qid", "i"], "left_semi").select("qid", "i", *PAIR))
         out = taken[0]
