@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,12 +104,13 @@ def tokenizer_path(name: str) -> str:
 ROWS = 1000
 
 
-def added(df: DataFrame, keep: list[Column | str], text_col: str, made: str, fn, many: bool = False) -> DataFrame:
+def added(df: DataFrame, keep: list[Column | str], text_col: str, made: str, fn, many: bool = False, end: Callable[[], None] | None = None) -> DataFrame:
     """The columns ``keep`` of ``df`` and the columns ``made`` (DDL) that ``fn`` makes of each text.
 
     ``fn`` gets the texts of an Arrow batch, None where null, and returns a list of
     values for each column of ``made``.  With ``many`` it first returns a list of row
     numbers, one for each row of the result.  Kept columns stay in Arrow as they are.
+    ``end`` is called when a task is done, as its worker lives on.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -131,5 +133,7 @@ def added(df: DataFrame, keep: list[Column | str], text_col: str, made: str, fn,
                 held, found = [c.take(at) for c in held], found[1:]
             held = [c if c.type == arrow.field(i).type else c.cast(arrow.field(i).type) for i, c in enumerate(held)]
             yield pa.RecordBatch.from_arrays(held + [pa.array(c, type=arrow.field(n + i).type) for i, c in enumerate(found)], schema=arrow)
+        if end is not None:
+            end()
 
     return source.mapInArrow(run, schema)

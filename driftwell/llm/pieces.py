@@ -241,6 +241,10 @@ class Codec:
             if t != p:
                 self.odd[s] = t
 
+    def forget(self) -> None:
+        """Lets go of the older memory."""
+        self.old, self.old_odd = {}, {}
+
     def _know(self, segments: set[str]) -> None:
         """Sees to it that the newer memory has all ``segments``."""
         if len(self.new) > MEMORY:
@@ -299,4 +303,4 @@ def encode_decode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
             out += [[[int(i) for i in x.split(",")] if x else [] for x, _ in done], [t for _, t in done]]
         return out
 
-    return added(docs, [F.col(id_col).alias("id")], text_col, made, rows)
+    return added(docs, [F.col(id_col).alias("id")], text_col, made, rows, end=lambda: codec(tokenizer_path(model)).forget())
