@@ -31,8 +31,8 @@ class Engine:
     A later batch's operations come after an earlier one's; ``seq`` orders those of one batch.
     """
 
-    #: Rounds of ``sample_by_runs`` after which what is still rejected is drawn from what is live.
-    ROUNDS = 4
+    #: Tries that a draw of ``sample_by_runs`` has in each round; what is rejected in all is drawn from what is live.
+    TRIES = (4, 16, 64)
 
     def __init__(self, spark: SparkSession, folder: str | None = None, cap: int = 1_000_000, scale: int = 6, policy: str = "tiering", max_tombstones: float = 1.0, tombstone_cap: int | None = None) -> None:
         self.spark, self.folder = spark, folder or new_folder(spark, "engine")
@@ -165,9 +165,9 @@ class Engine:
         """(qid, i, key, value): k uniform draws from what is live in each range, without an index of all of it.
 
         A draw picks a run by what it has in the range, then one of these inserts.  Of a record
-        with m inserts in all runs, c of which are live, it is taken with the chance c / m; the others are drawn
+        with m inserts in all runs, c of which are live, it is taken with the chance c / m, else the draw is tried
         again.  So a batch costs the index of its own run and lookups of the records drawn.
-        Draws rejected ROUNDS times, and those of ranges that have nothing live, are settled on what is live there.
+        Draws rejected in all TRIES, and those of ranges that have nothing live, are settled on what is live there.
         """
         few = queries.select("qid", "lo", "hi", "k").collect()  # a batch of ranges
         few = [q for q in few if (q["k"] or 0) > 0 and q["lo"] is not None and q["hi"] is not None and q["lo"] <= q["hi"]]
@@ -190,16 +190,18 @@ class Engine:
         part = F.broadcast(self.spark.createDataFrame(pieces, "qid long, first long, low long, high long"))
         waiting = self.spark.createDataFrame(asked, "qid long, k long, width long").select("qid", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
         met, taken, left = self.log().where(_any_range([(q["lo"], q["hi"]) for q in few])), [], sum(k for _, k, _ in asked)
-        for turn in range(self.ROUNDS):
-            u = hashed(seed, "run", F.lit(turn), F.col("qid"), F.col("i")) % F.col("width")
-            drawn = waiting.withColumn("u", u).join(part, "qid").where("u >= low and u < high").select("qid", "i", (F.col("first") + F.col("u") - F.col("low")).alias("pos"))
-            found = written(sample.records_at(whole, drawn, left), "found")
+        for turn, tries in enumerate(self.TRIES):
+            each = waiting.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+            u = hashed(seed, "run", F.lit(turn), F.col("qid"), F.col("i"), F.col("j")) % F.col("width")
+            drawn = each.withColumn("u", u).join(part, "qid").where("u >= low and u < high").select("qid", (F.col("i") * tries + F.col("j")).alias("i"), (F.col("first") + F.col("u") - F.col("low")).alias("pos"))
+            found = written(sample.records_at(whole, drawn, left * tries), "found")
             pairs = found.select(*PAIR).distinct()
-            ends = reduced(met.join(F.broadcast(pairs) if left <= ix.BROADCAST_PROBES else pairs, PAIR, "left_semi"), PAIR)
+            ends = reduced(met.join(F.broadcast(pairs) if left * tries <= ix.BROADCAST_PROBES else pairs, PAIR, "left_semi"), PAIR)
             keep = hashed(seed, "keep", F.lit(turn), F.col("qid"), F.col("i")) % F.col("inserted") < F.col("total") - F.col("low")
-            judged = written(found.join(ends, PAIR).select("qid", "i", *PAIR, keep.alias("keep")), "judged")
-            taken.append(judged.where("keep").drop("keep"))
-            again = judged.where(~F.col("keep")).select("qid", "i")
+            tried = found.join(ends, PAIR).select("qid", F.expr(f"i div {tries}").alias("i"), F.expr(f"i % {tries}").alias("j"), *PAIR, keep.alias("keep"))
+            judged = written(tried.groupBy("qid", "i").agg(F.min_by(F.struct(*PAIR), F.when(F.col("keep"), F.col("j"))).alias("at")), "judged")
+            taken.append(judged.where("at is not null").select("qid", "i", "at.*"))
+            again = judged.where("at is null").select("qid", "i")
             left = again.count()
             if not left:
                 break
