@@ -246,6 +246,16 @@ def equal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.equal_range(ix.build(_lines(spark, sf_dir)), _probes(spark))
 
 
+_PAGE_OF = "(CASE WHEN (SELECT count(*) FROM orders WHERE o_custkey {0} x) < (SELECT count(*) FROM orders) THEN (SELECT count(*) FROM orders WHERE o_custkey {0} x) // {1} ELSE -1 END)::BIGINT"
+
+
+@query(f"SELECT probe::BIGINT AS probe, {_PAGE_OF.format('<', ix.PAGE)} AS lower, {_PAGE_OF.format('<=', ix.PAGE)} AS upper FROM (VALUES {_P}) AS v(probe, x)")
+def bound_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of lower and upper bounds; -1 where no record lies there."""
+    found = lookup.bound_pages(ix.build(_orders(spark, sf_dir), 1), _probes(spark))
+    return found.select("probe", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("lower", "upper")])
+
+
 @query(f"SELECT probe::BIGINT AS probe, x::BIGINT AS x, EXISTS (SELECT 1 FROM orders WHERE o_custkey = x) AS found FROM (VALUES {_P}) AS v(probe, x)")
 def point_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.exists(_orders(spark, sf_dir), _probes(spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .index import PositionIndex, sent
+from .index import PAGE, PositionIndex, sent
 
 
 def range_counts(index: PositionIndex, queries: DataFrame) -> DataFrame:
@@ -30,6 +30,25 @@ def upper_bound(index: PositionIndex, probes: DataFrame) -> DataFrame:
     return index.count_below(after).select("probe", F.col("below").alias("pos"))
 
 
+def bound_pages(index: PositionIndex, probes: DataFrame) -> DataFrame:
+    """(probe, lower, upper): the pages, counted over the whole index, of the first record with key >= x and of the first with key > x; null without any."""
+    both = lower_bound(index, probes).withColumnRenamed("pos", "lower").join(upper_bound(index, probes).withColumnRenamed("pos", "upper"), "probe")
+    firsts, before = [], 0
+    for p in index.held:
+        firsts.append((p.start, p.start + p.cnt, before))
+        before += -(-p.cnt // PAGE)
+    if not firsts:
+        return both.select("probe", *[F.lit(None).cast("long").alias(c) for c in ("lower", "upper")])
+    cell = max(1, -(-index.size // len(firsts)))
+    grid = [(g, *f) for f in firsts for g in range(f[0] // cell, (f[1] - 1) // cell + 1)]
+    for end in ("lower", "upper"):
+        cells = F.broadcast(index.spark.createDataFrame(grid, "cell long, first long, stop long, pages long"))  # two rows a partition, about
+        at = both.select("probe", F.col(end).alias("pos"), F.expr(f"{end} div {cell}").alias("cell")).join(cells, "cell").where("pos >= first and pos < stop")
+        page = at.select("probe", F.expr(f"pages + (pos - first) div {PAGE}").alias("page"))
+        both = both.drop(end).join(page.withColumnRenamed("page", end), "probe", "left")
+    return both.select("probe", "lower", "upper")
+
+
 def equal_range(index: PositionIndex, probes: DataFrame) -> DataFrame:
     """(probe, first, stop): ordinals of the records with key = x, stop excluded."""
     return lower_bound(index, probes).withColumnRenamed("pos", "first").join(upper_bound(index, probes).withColumnRenamed("pos", "stop"), "probe")

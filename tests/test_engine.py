@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 from collections import Counter
 
@@ -196,14 +197,14 @@ def test_workloads(spark, tmp_path):
     assert 0 < gone <= 10 and seconds > 0 and engine.live_counts().count() == before - gone
     asked = schema.queries(spark, [(0, 0, 20, 15)])
     assert workloads.samples(engine, asked, 1)[0] == 15 == workloads.samples(engine, asked, 1, by_runs=True)[0]
-    rows = workloads.mixed(Engine(spark, str(tmp_path / "m"), cap=30, scale=2), records, 60, 30, 60, 10, asked, 3)
+    rows = workloads.mixed(Engine(spark, str(tmp_path / "m"), cap=300, scale=2), records, 60, 30, 60, 10, asked, 3)
     assert sum(r["writes"] for r in rows) - sum(r["deleted"] for r in rows) == rows[-1]["live"] and sum(r["reads"] for r in rows) > 0
-    warm = Engine(spark, str(tmp_path / "w"), cap=50, scale=2)
+    warm = Engine(spark, str(tmp_path / "w"), cap=500, scale=2)
     gone = workloads.warm_up(warm, records, 120, 60, 20, 5)
     assert gone > 0 and warm.live_counts().count() == 120 - gone
-    results = workloads.sweep(spark, records, 100, 50, asked, [40], [2], [0.5], delete_percent=5)
-    assert [r["policy"] for r in workloads.picked(results, "policy", cap=40).collect()] == ["levelling", "tiering"]
-    assert workloads.picked(results, policy="none").count() == 0 and results.where("bytes > 0 and height >= 0 and insert_p50 > 0").count() == 2
+    results = workloads.sweep(spark, records, 60, 30, asked, [400], [2], [0.5], ["tiering"])
+    assert [r["policy"] for r in workloads.picked(results, "policy", cap=400).collect()] == ["tiering"]
+    assert workloads.picked(results, policy="none").count() == 0 and results.where("bytes > 0 and height = 0 and insert_p50 > 0").count() == 1
 
 
 def test_io_counters(spark, tmp_path):
@@ -307,6 +308,11 @@ def test_sequence_order(spark, a, b):
 def test_page_ranges_and_positions(spark):
     index = ix.build(_records(spark, [(i // 3, i) for i in range(5000)]), 4)
     pages = sum(-(-p.cnt // ix.PAGE) for p in index.held)
+    probes = spark.createDataFrame([(0, -1), (1, 0), (2, 400), (3, 1666), (4, 1667)], "probe long, x long")
+    found = {r["probe"]: (r["lower"], r["upper"]) for r in lookup.bound_pages(index, probes).collect()}
+    page_of = {r["pos"]: r["page"] for r in ix.page_range(index, 0, pages).collect()}
+    keys = [i // 3 for i in range(5000)]
+    assert found == {i: (page_of.get(bisect.bisect_left(keys, x)), page_of.get(bisect.bisect_right(keys, x))) for i, x in map(tuple, probes.collect())}
     every = ix.page_range(index, 0, pages)
     assert every.count() == 5000 and every.select("page").distinct().count() == pages
     assert {r["page"] for r in ix.page_range(index, 1, 2).collect()} == {1, 2}
