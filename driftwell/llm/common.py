@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -13,6 +12,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import partitions_for, shared_folder, written
+
+__all__ = ["added", "ascii_lower", "joined_by_size", "partitions_for", "shared_folder", "ship", "table", "tokenizer_path", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of word and line keys: x20 and x09-x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -29,38 +32,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    context = spark.sparkContext
-    kept = context.getCheckpointDir()
-    if kept:
-        return kept.rstrip("/")
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named and not context.master.startswith("local"):
-        raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftwell-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here.
-
-    The folder goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
-    """Partitions of ``rows`` rows at ``each`` in one, and no fewer than shuffles have."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
-
-
 def joined_by_size(many: DataFrame, sized: DataFrame, on: list[str], size: str, rows: int, each: int = 1 << 20) -> DataFrame:
     """``many`` joined with ``sized``, one row for each key with ``size``, the rows of ``many`` that have it.
 

@@ -21,7 +21,6 @@ BASE_URL_RULES = [
 WORD_URL_RULES = [url_rules.word_rule(w, "block") for w in ("spam", "spam-farm", "adult", "adult-x", "casino", "porn", "xxx", "warez", "phishing", "malware")]
 
 
-
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
