@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, joined_by_size, written
 
 BLOCK_CHARS = 4096
+#: Blocks in a stretch.
+CUT = 64
 KEY = ["id", "text_sha256"]
 
 
@@ -38,9 +40,15 @@ def _numbered(keys: DataFrame, columns: list[str], start: int = 0) -> DataFrame:
 
 
 def _cut(block_chars: int, make: Callable[[Column, Column], Column]) -> Column:
-    """What ``make`` gives of the place and the content of each block of ``text``."""
-    n = F.greatest(F.ceil(F.char_length("text") / F.lit(block_chars)).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: make(i, F.substring(F.col("text"), i * block_chars + 1, F.lit(block_chars))))
+    """What ``make`` gives of the place and the content of each block of ``text``.
+
+    A text is cut into stretches of CUT blocks first: finding a place in a text means reading up to it.
+    """
+    upto = lambda text, size: F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length(text) / F.lit(size)).cast("int"), F.lit(1)) - 1)
+    part = lambda text, i, size: F.substring(text, i * size + 1, F.lit(size))
+    text, long = F.col("text"), CUT * block_chars
+    stretches = F.transform(upto(text, long), lambda c: F.struct(c.alias("at"), part(text, c, long).alias("held")))
+    return F.flatten(F.transform(stretches, lambda s: F.transform(upto(s["held"], block_chars), lambda i: make((s["at"] * CUT + i).cast("int"), part(s["held"], i, block_chars)))))
 
 
 def _name_blocks(texts: DataFrame, units: DataFrame, block_chars: int, fingerprint: Callable[[Column], Column]) -> DataFrame:
