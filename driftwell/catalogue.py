@@ -340,8 +340,8 @@ def sequence_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH a AS (SELECT key, value, row_number() OVER (ORDER BY key, value) AS pos FROM ({_ORDERS})), b AS (SELECT key, value, row_number() OVER (ORDER BY key, value) AS pos FROM ({_LIVE_ORDERS})),
         f AS (SELECT a.key AS ak, a.value AS av, b.key AS bk, b.value AS bv, coalesce(a.pos, b.pos) AS pos FROM a FULL JOIN b USING (pos) WHERE a.key IS DISTINCT FROM b.key OR a.value IS DISTINCT FROM b.value),
-        m AS (SELECT count(*) = 0 AS same, coalesce(arg_min(ak IS NULL OR (bk IS NOT NULL AND (ak < bk OR (ak = bk AND av < bv))), pos), FALSE) AS less FROM f)
-        SELECT 'live' AS other, same AS equal, less, same OR less AS less_equal FROM m UNION ALL SELECT 'itself', TRUE, FALSE, TRUE FROM orders HAVING count(*) >= 0"""
+        m AS (SELECT count(*) = 0 AS same, coalesce(arg_min(ak IS NULL OR (bk IS NOT NULL AND (ak < bk OR (ak = bk AND av < bv))), pos), FALSE) AS less, coalesce(min(pos) - 1, -1) AS apart FROM f)
+        SELECT 'live' AS other, same AS equal, less, same OR less AS less_equal, apart FROM m UNION ALL SELECT 'itself', TRUE, FALSE, TRUE, -1 FROM orders HAVING count(*) >= 0"""
 )
 def sequence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders in sequence against those that are live, and against themselves."""

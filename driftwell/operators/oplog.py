@@ -99,16 +99,17 @@ def erase_at(index: PositionIndex, positions: DataFrame) -> DataFrame:
 
 
 def sequence_order(a: PositionIndex, b: PositionIndex) -> DataFrame:
-    """One row (equal, less, less_equal): two sequences in order, compared record by record as words are.
+    """One row (equal, less, less_equal, apart): two sequences in order, compared record by record as words are.
 
-    The first ordinal at which they differ decides; a sequence that ends is less than one that goes on.
+    ``apart``, the first ordinal at which they differ, decides; it is -1 where they are equal.  A sequence
+    that ends is less than one that goes on.
     """
     left = a.positions.select("pos", F.struct(*PAIR).alias("a"))
     right = b.positions.select("pos", F.struct(*PAIR).alias("b"))
     apart = left.join(right, "pos", "full").where(~F.col("a").eqNullSafe(F.col("b")))
-    first = apart.agg(F.min_by(F.struct("a", "b"), "pos").alias("at"))
+    first = apart.agg(F.min_by(F.struct("a", "b"), "pos").alias("at"), F.coalesce(F.min("pos"), F.lit(-1)).cast("long").alias("apart"))
     less = F.coalesce(F.col("at.a").isNull() | (F.col("at.a") < F.col("at.b")), F.lit(False)) & F.col("at").isNotNull()
-    return first.select(F.col("at").isNull().alias("equal"), less.alias("less"), (F.col("at").isNull() | less).alias("less_equal"))
+    return first.select(F.col("at").isNull().alias("equal"), less.alias("less"), (F.col("at").isNull() | less).alias("less_equal"), "apart")
 
 
 def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:
