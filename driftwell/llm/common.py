@@ -106,5 +106,6 @@ def added(df: DataFrame, keep: list[Column | str], text_col: str, made: str, fn,
             yield pa.RecordBatch.from_arrays(held + [pa.array(c, type=arrow.field(n + i).type) for i, c in enumerate(found)], schema=arrow)
         if end is not None:
             end()
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,8 @@ REJECT_RATE = 0.002
 #: Where that is less than one row, the bound is this part of the least log-odds of a right prediction.
 REJECT_PART = 0.9
 SEED = 20240711
+#: Characters from which a text's subwords are counted piece by piece.
+LONG = 1 << 16
 UNKNOWN = "und"
 _BLANK = re.compile(rb"[\x00-\x20\d]+")
 
@@ -59,14 +62,31 @@ class Model:
     reject_below: float
 
 
-def subwords(text: str) -> np.ndarray:
-    """Buckets of all subwords of a text, in no order."""
+def subwords(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all subwords of a text, in arrays of bounded size."""
     data = _BLANK.sub(b" ", b" " + text.lower().encode("utf-8", "surrogatepass") + b" ")
-    return np.concatenate([hashed(p, w, BITS) for w in WIDTHS for p in pieces(data, w)])
+    for w in WIDTHS:
+        for p in pieces(data, w):
+            yield hashed(p, w, BITS)
+
+
+def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's subwords, ascending, and how many fall into each."""
+    parts = list(subwords(text)) if len(text) < LONG else None
+    if parts is not None:
+        return np.unique(np.concatenate(parts), return_counts=True)
+    n = np.zeros(1 << BITS, dtype=np.int64)
+    for found in subwords(text):
+        n += np.bincount(found, minlength=1 << BITS)
+    at = np.flatnonzero(n)
+    return at, n[at]
 
 
 def _mean(text: str, table: np.ndarray) -> np.ndarray:
-    found = subwords(text)
+    if len(text) >= LONG:
+        at, n = _counted(text)
+        return n @ table[at].astype(np.float64) / n.sum()
+    found = np.concatenate(list(subwords(text)))
     return np.ones(len(found), dtype=table.dtype) @ table[found] / max(1, len(found))
 
 
@@ -88,7 +108,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
     # Two flat arrays for all rows: freed at once, they leave no holes in the driver's memory.
     places, shares, bounds = array("i"), array("f"), [0]
     for t in texts:
-        at, n = np.unique(subwords(t), return_counts=True)
+        at, n = _counted(t)
         places.frombytes(at.astype(np.int32).tobytes())
         shares.frombytes((n / max(1, n.sum())).astype(np.float32).tobytes())
         bounds.append(len(places))

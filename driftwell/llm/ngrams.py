@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_BLOCK = 1 << 22
+_BLOCK = 1 << 18
 #: Odd multipliers of the byte positions, fixed so that models and texts agree.
 _SPREAD = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393)]
 
