@@ -698,6 +698,20 @@ def test_language_model_without_one_language(spark):
         assert got.pop(gone) > 0.9 and max(got.values()) < 0.03
 
 
+def test_language_of_long_texts_by_pieces(monkeypatch):
+    rng = random.Random(14)
+    table = np.random.default_rng(1).normal(size=(1 << language.BITS, 3)).astype(np.float32)
+    for n in (1, 5, 400, 400_000):
+        text = "".join(rng.choices("abcdefgh é\n7", k=n)) + "a"
+        means, counts = [], []
+        for long in (1, 10**9):
+            monkeypatch.setattr(language, "LONG", long)
+            means.append(language._mean(text, table))
+            counts.append(language._counted(text))
+        assert np.allclose(means[0], means[1], atol=1e-4)
+        assert (counts[0][0] == counts[1][0]).all() and (counts[0][1] == counts[1][1]).all()
+
+
 def test_rejection_bound():
     scores = 1 - np.arange(1, 5001) / 10001
     assert np.isclose((scores < language.rejection(scores)).mean(), language.REJECT_RATE)
