@@ -45,7 +45,7 @@ SMALL = 48
 NEIGHBOURS = 2
 BLOCK = 256
 #: Sets of a task that confirms candidates: so many of a block, and so many bytes, about.
-GROUP = 128
+GROUP = 512
 GROUP_BYTES = 16 << 20
 #: Candidate ids that are broadcast at most (16 bytes each); more are joined by exchange.
 BROADCAST_IDS = 1_000_000
