@@ -8,11 +8,14 @@ identity, and each shard is packed by several islands.
 An island holds a small population of packings, which are lists of bins.  The
 crossover takes whole well-filled bins of one parent into the other, drops the
 bins that hold one of their documents a second time, and puts the documents that
-lost their bins back by best fit, largest first.  After each epoch the best
-packing of an island migrates to the next island of its shard.  The best packing
-of all is kept.  What then stands in poorly filled bins goes to the next round,
-in fewer shards, until one shard is left; a round's bins are final otherwise.  The
-poor bins are final too where they hold half of a round's pieces or more, and more
+lost their bins back by best fit, largest first.  The mutation dissolves bins, and
+their documents first take the places of smaller ones wherever a bin has room for
+the difference.  An epoch ends on an island when so many generations in a row gave
+no fewer bins, or when no fewer bins are possible.  After each epoch the best
+packing of an island migrates to the next island of its shard, and a shard has
+further epochs as long as they bring fewer bins.  The best packing of all is kept.
+What then stands in poorly filled bins goes to the next round, in fewer shards,
+until one shard is left; a round's bins are final otherwise.  The poor bins are final too where they hold half of a round's pieces or more, and more
 than a shard: such pieces don't fit together, and dealing them anew gains little.
 
 Every random choice is seeded by shard, island and epoch, and the rounds are
@@ -31,6 +34,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,9 +48,9 @@ SEPARATOR = 0
 #: Pieces in a shard, about; an island's work and memory are bounded by it.
 SHARD = 8192
 ISLANDS = 3
-EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 4
+#: Generations in a row without fewer bins that end an epoch.
+STALE = 8
 #: Bins filled less than this go on to the next round.
 FILLED = 0.985
 PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -163,12 +167,33 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity
 Bins = list[list[int]]
 
 
+def filled(held: list[int], sizes: list[int]) -> int:
+    return sum(map(sizes.__getitem__, held))
+
+
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """A number of bins that no packing is below.
+
+    For each limit up to half a bin: pieces above ``capacity`` less the limit share a bin with none of
+    at least the limit, those above a half with none of each other, and the rest fills the room of the latter.
+    """
+    count = np.bincount(np.array(sizes, dtype=np.int64), minlength=capacity + 1)
+    n, tokens = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
+    limit = np.arange(capacity // 2 + 1)
+    big = capacity - limit
+    half = capacity // 2
+    below = np.concatenate(([0], tokens))[limit]
+    paired = n[big] - n[half]
+    rest = tokens[half] - below - (paired * capacity - (tokens[big] - tokens[half]))
+    return int((n[-1] - n[big] + paired + np.maximum(0, -(-rest // capacity))).max())
+
+
 def best_fit(order: list[int], sizes: list[int], bins: Bins, capacity: int) -> Bins:
     """``bins`` with the items of ``order`` put, one by one, where they leave the least room."""
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_rooms = 0
     for k, b in enumerate(bins):
-        r = capacity - sum(sizes[i] for i in b)
+        r = capacity - filled(b, sizes)
         room[r].append(k)
         open_rooms |= 1 << r
     for i in order:
@@ -191,13 +216,13 @@ def best_fit(order: list[int], sizes: list[int], bins: Bins, capacity: int) -> B
 
 def fitness(bins: Bins, sizes: list[int], capacity: int) -> float:
     """Mean squared fill: fuller bins count for more, so fewer bins do too."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+    return sum([(filled(b, sizes) / capacity) ** 2 for b in bins]) / max(1, len(bins))
 
 
 def crossover(taker: Bins, giver: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """Whole well-filled bins of ``giver`` in ``taker``, duplicates removed, the displaced put back by best fit."""
-    filled = sorted(giver, key=lambda b: -sum(sizes[i] for i in b))
-    top = filled[: max(1, len(filled) // 2)]
+    falling = sorted(giver, key=lambda b: -filled(b, sizes))
+    top = falling[: max(1, len(falling) // 2)]
     injected = rng.sample(top, max(1, len(top) // 2))
     inside = {i for b in injected for i in b}
     stay, displaced = [], []
@@ -210,12 +235,38 @@ def crossover(taker: Bins, giver: Bins, sizes: list[int], capacity: int, rng: ra
     return best_fit(displaced, sizes, [b[:] for b in injected] + stay, capacity)
 
 
+def exchange(loose: list[int], sizes: list[int], bins: Bins, capacity: int) -> list[int]:
+    """What is loose when items of ``loose`` have taken the places of smaller ones in ``bins`` that have the room."""
+    by_size: dict[int, list[int]] = {}
+    there = 0
+    for i in loose:
+        by_size.setdefault(sizes[i], []).append(i)
+        there |= 1 << sizes[i]
+    for b in bins:
+        r = capacity - filled(b, sizes)
+        for k, i in enumerate(b):
+            if not r:
+                break
+            fitting = (there >> (sizes[i] + 1)) & ((1 << r) - 1)
+            if fitting:
+                larger = fitting.bit_length()
+                size = sizes[i] + larger
+                b[k] = by_size[size].pop()
+                if not by_size[size]:
+                    there &= ~(1 << size)
+                by_size.setdefault(sizes[i], []).append(i)
+                there |= 1 << sizes[i]
+                r -= larger
+    return [i for held in by_size.values() for i in held]
+
+
 def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """The emptiest bins and a few others dissolved, their documents put back by best fit."""
-    order = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
+    """The emptiest bins and a few others dissolved, their documents exchanged for smaller ones, the loose put back by best fit."""
+    order = sorted(range(len(bins)), key=[filled(b, sizes) for b in bins].__getitem__)
     gone = set(order[: max(1, len(order) // 50)]) | set(rng.sample(range(len(bins)), max(1, len(bins) // 50)))
-    loose = sorted((i for k in gone for i in bins[k]), key=lambda i: (-sizes[i], rng.random()))
-    return best_fit(loose, sizes, [b[:] for k, b in enumerate(bins) if k not in gone], capacity)
+    stay = [b[:] for k, b in enumerate(bins) if k not in gone]
+    loose = exchange([i for k in sorted(gone) for i in bins[k]], sizes, stay, capacity)
+    return best_fit(sorted(loose, key=lambda i: (-sizes[i], rng.random())), sizes, stay, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[Bins]) -> Bins:
@@ -223,21 +274,25 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[Bins]) -> Bi
     if not sizes:
         return []
     rng = random.Random(seed)
-    least = -(-sum(sizes) // capacity)
+    least = least_bins(sizes, capacity)
     falling = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    population = elites or [best_fit(falling, sizes, [], capacity)]
+    population = [*elites] or [best_fit(falling, sizes, [], capacity)]
+    best = min(population, key=len)
+    if len(best) <= least:
+        return best
     while len(population) < POPULATION:
         noise = 1 + 0.3 * len(population)
         order = sorted(falling, key=lambda i: -sizes[i] * (1 + noise * 0.1 * rng.random()))
         population.append(best_fit(order, sizes, [], capacity))
     rated = sorted(((len(b), -fitness(b, sizes, capacity), k, b) for k, b in enumerate(population)), key=lambda x: x[:3])
-    for g in range(GENERATIONS):
-        if rated[0][0] <= least:
-            break
+    made, stale = POPULATION, 0
+    while stale < STALE and rated[0][0] > least:
         a, b = rng.sample(rated[: max(2, POPULATION // 2 + 1)], 2)
         child = crossover(a[3], b[3], sizes, capacity, rng)
         child = mutate(child, sizes, capacity, rng)
-        rated = sorted([*rated, (len(child), -fitness(child, sizes, capacity), POPULATION + g, child)], key=lambda x: x[:3])[:POPULATION]
+        stale = 0 if len(child) < rated[0][0] else stale + 1
+        rated = sorted([*rated, (len(child), -fitness(child, sizes, capacity), made, child)], key=lambda x: x[:3])[:POPULATION]
+        made += 1
     return rated[0][3]
 
 
@@ -260,7 +315,10 @@ def _bins(flat: bytes) -> Bins:
 
 
 def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """``state`` (shard, island, sizes, own, came) after one epoch: (shard, island, best, n_bins)."""
+    """``state`` (shard, island, sizes, own, came) after one epoch: (shard, island, best, n_bins, fell).
+
+    ``fell``: there are fewer bins than the epoch began with, or it was the first.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -269,10 +327,11 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
                 sizes = [int(x) for x in r.sizes]
                 elites = [_bins(x) for x in (r.own, r.came) if x is not None]
                 best = evolve(sizes, capacity, hash((int(r.shard), int(r.island), epoch)), elites)
-                done.append((r.shard, r.island, _flat(best, len(sizes)), len(best)))
-            yield pd.DataFrame(done, columns=["shard", "island", "best", "n_bins"])
+                fell = not elites or len(best) < min(map(len, elites))
+                done.append((r.shard, r.island, _flat(best, len(sizes)), len(best), fell))
+            yield pd.DataFrame(done, columns=["shard", "island", "best", "n_bins", "fell"])
 
-    return state.mapInPandas(rows, "shard long, island int, best binary, n_bins int")
+    return state.mapInPandas(rows, "shard long, island int, best binary, n_bins int, fell boolean")
 
 
 def _round(items: DataFrame, shards: int, capacity: int, level: int, partitions: int) -> DataFrame:
@@ -283,13 +342,17 @@ def _round(items: DataFrame, shards: int, capacity: int, level: int, partitions:
     sizes = F.transform("items", lambda x: x["length"].cast("int")).alias("sizes")
     islands = shard.select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), sizes)
     state = islands.withColumn("own", F.lit(None).cast("binary")).withColumn("came", F.lit(None).cast("binary"))
-    best = None
-    for epoch in range(EPOCHS):
-        if best is not None:
-            own = best.select("shard", "island", F.col("best").alias("own"))
-            migrants = best.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("came"))
-            state = islands.join(own, ["shard", "island"]).join(migrants, ["shard", "island"]).select("shard", "island", "sizes", "own", "came")
+    ended, epoch, running = [], 0, True
+    while running:
         best = written(_epoch(state.repartition(partitions, "shard", "island"), capacity, epoch), f"epoch{level}-{epoch}")
+        falling = F.broadcast(best.where("fell").select("shard").distinct())
+        running = not falling.isEmpty()
+        ended.append(best.join(falling, "shard", "left_anti"))
+        own = best.join(falling, "shard", "left_semi").select("shard", "island", F.col("best").alias("own"))
+        migrants = own.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("own").alias("came"))
+        state = islands.join(own, ["shard", "island"]).join(migrants, ["shard", "island"]).select("shard", "island", "sizes", "own", "came")
+        epoch += 1
+    best = reduce(DataFrame.unionByName, ended)
     won = best.groupBy("shard").agg(F.min_by("best", F.struct("n_bins", "island")).alias("best"))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -575,6 +575,23 @@ def test_packing_of_pieces_that_fit_with_none(spark, unpaired, paired, shard):
     assert max(full.values()) <= 2048 and len(full) <= unpaired + paired // 2 + 20
 
 
+def test_packing_goes_on_while_it_gains(spark):
+    """Pieces of a quarter to less than a half: best fit leaves room that generations have to close."""
+    rng = random.Random(3)
+    sizes = [rng.randrange(500, 900) for _ in range(2000)]
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(df, shard=1000).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(2000))
+    full = Counter()
+    for r in got:
+        full[r["sequence_id"]] += r["length"]
+    assert max(full.values()) <= 2048 and len(full) <= 1.07 * -(-sum(sizes) // 2048)
+
+
+def test_least_bins():
+    assert [packing.least_bins(x, 10) for x in ([], [10, 10], [6] * 5, [6, 6, 5, 5], [5, 5, 5], [1] * 21, [8, 8, 3])] == [0, 2, 5, 3, 2, 3, 3]
+
+
 def test_genetic_operators():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 1200) for _ in range(300)]
