@@ -58,8 +58,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scorer = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, scorer).withColumnRenamed("id", "doc_id")
+    return quality.fit_and_judge(docs, table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

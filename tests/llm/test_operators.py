@@ -637,6 +637,33 @@ def test_quality_edges(spark):
     assert quality.judge(df.limit(0), quality.fit(df.limit(0), none)).count() == 0
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Counts and threshold by brute force, with more labelled rows than a sample of 20,000 holds."""
+    rng = random.Random(9)
+    ids = [*range(24_000), 5, None]
+    texts = [" ".join("".join(rng.choices("abcde" if (i or 0) % 3 else "defgh", k=3)) for _ in range(11)) + "é" * (i == 7) for i in ids]
+    labels = [(i, int(rng.random() < (0.95 if i % 3 else 0.1))) for i in range(2000, 24_100)] + [(5, 0), (5, 1), (6, None), (None, 1)]
+    docs, marks = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    best = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            best[i] = max(q, best.get(i, 0))
+    found = [quality.hashed(np.frombuffer(t.encode(), dtype=np.uint8), quality.WIDTH, quality.BITS) for t in texts]
+    trusted = [n for i, n in zip(ids, found) if best.get(i)]
+    count = np.array([np.bincount(np.concatenate(x), minlength=1 << quality.BITS) for x in (found, trusted)])
+    p = (count + 1) / (count + 1).sum(axis=1, keepdims=True)
+    want = (np.log(p[1]) - np.log(p[0])).astype(np.float32)
+    got = quality.fit(docs, marks)
+    assert np.allclose(got.log_ratio, want, atol=1e-6)
+    rated = sorted((quality.mean_ratio(t, got.log_ratio), best[i]) for i, t in zip(ids, texts) if i in best)
+    good, bad = ([r for r, q in rated if q == x] for x in (1, 0))
+    limit = good[int(quality.TRUSTED_LOSS * len(good))]
+    cut = min((np.searchsorted(good, c, "right") - np.searchsorted(bad, c, "right"), c) for c in {b for b in bad if b < limit} | {limit})[1]
+    assert got.threshold == (cut + min(r for r, _ in rated if r > cut)) / 2
+    rows = quality.fit_and_judge(docs, marks).collect()
+    assert len(rows) == len(ids) and all(r["kept"] == (r["ratio"] >= got.threshold and not r["base_failed"]) for r in rows)
+
+
 # -- language
 
 
